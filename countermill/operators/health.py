@@ -92,6 +92,7 @@ def health_fold(
     reads = F.col("kind").isin("read", "probe")
     succeeded = reads & F.coalesce("success", F.lit(False))
     renews = succeeded | F.col("kind").isin("start", "add", "update")
+    own_error = F.struct(F.when(~succeeded, F.col("error")).alias("error"))
     upto = Window.partitionBy(*keys, "_slice").orderBy("us", "seq")
     running = upto.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
@@ -103,7 +104,7 @@ def health_fold(
         .withColumn("_prev", F.lag("us").over(upto))
         .withColumn("_renewed", F.max(F.when(renews, F.col("_reads"))).over(running))
         .withColumn("_ok", F.last(F.when(succeeded, F.struct("us", F.col("_prev").alias("prev"))), True).over(running))
-        .withColumn("_err", F.last(F.when(F.col("kind") != "remove", F.struct("error")), True).over(running))
+        .withColumn("_err", F.last(F.when(F.col("kind") != "remove", own_error), True).over(running))
     )
 
     at = F.struct("us", "seq")

@@ -1,0 +1,85 @@
+"""Streaming forms of the reading pipeline, and ways to run and write streams."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming import StreamingQuery
+
+from countermill.operators.hooks import Rules
+from countermill.operators.readings import decode_polls, grade_readings, tag_readings
+from countermill.streaming.rates import stream_rate
+from countermill.vocab import RATE_WINDOW_SECONDS
+
+Writer = Callable[[DataFrame, int], None]
+
+
+def stream_process(
+    polls: DataFrame,
+    channels: DataFrame,
+    rules: Rules = Rules(),
+    window_seconds: int = RATE_WINDOW_SECONDS,
+    with_tags: bool = True,
+) -> DataFrame:
+    """Polls to readings on a stream: only the rate keeps state, the rest is row by row."""
+    rated = stream_rate(decode_polls(polls, channels, rules), window_seconds)
+    graded = grade_readings(rated, rules)
+    return tag_readings(graded, channels, rules) if with_tags else graded
+
+
+def fan_out(rows: DataFrame, writers: dict[str, Writer], checkpoint: str, mode: str = "append") -> StreamingQuery:
+    """Several subscribers on one stream: each micro-batch is computed once and given to all.
+
+    A batch can come again after a failure, so writers get its number and must be repeatable;
+    `batch_writer` is.
+    """
+
+    def deliver(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        try:
+            for write in writers.values():
+                write(batch, number)
+        finally:
+            batch.unpersist()
+
+    return (
+        rows.writeStream.outputMode(mode)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .foreachBatch(deliver)
+        .start()
+    )
+
+
+def batch_writer(path: str, shape: Callable[[DataFrame], DataFrame] = lambda df: df) -> Writer:
+    """A writer that keeps each micro-batch in a folder of its own, so a repeat replaces it."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        shape(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return write
+
+
+def write_stream(rows: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
+    """Everything that has arrived so far, as files; then the query ends.
+
+    Append uses the file sink. Update and complete results change after they were written, so
+    each micro-batch keeps a folder of its own.
+    """
+    if mode == "append":
+        return (
+            rows.writeStream.outputMode("append")
+            .format("parquet")
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start(path)
+        )
+    return fan_out(rows, {"files": batch_writer(path)}, checkpoint, mode)
+
+
+def replay(rows: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """Run a stream over what has arrived and read its output back as a table."""
+    out = f"{folder}/out"
+    write_stream(rows, out, f"{folder}/checkpoint", mode).awaitTermination()
+    return rows.sparkSession.read.parquet(out)
