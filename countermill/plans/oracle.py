@@ -346,9 +346,9 @@ def _ordered(names: list[str]) -> list[str]:
 
 
 def sql(name: str, needs: str, body: str) -> None:
+    """Register a query; a body that begins with a comma adds expressions of its own."""
     ctes = ",\n".join(f"{n} AS ({CTES[n]})" for n in _ordered(needs.split()))
     SQL[name] = f"WITH {ctes}\n{body}" if ctes else body
-    # A body may go on with expressions of its own.
 
 
 # ---------------------------------------------------------------- sources and sinks
@@ -426,7 +426,7 @@ sql(
     "decode_registers",
     "polls",
     """
-    SELECT device_id, seq, len(registers) AS words,
+    SELECT device_id, seq, CAST(len(registers) AS INTEGER) AS words,
            CASE WHEN len(registers) >= 2 THEN (CAST(registers[2] AS BIGINT) << 16) | registers[1]
                 WHEN len(registers) = 1 THEN registers[1] END AS raw_value
     FROM polls""",
@@ -774,7 +774,7 @@ sql(
     "health_events",
     "items probes log",
     """
-    SELECT device_id, us, kind, count(*) AS events, count(*) FILTER (success) AS ok, max(error) AS error
+    SELECT device_id, CAST(us AS BIGINT) AS us, kind, count(*) AS events, count(*) FILTER (success) AS ok, max(error) AS error
     FROM (SELECT device_id, us + sum(acquisition_us) OVER (PARTITION BY device_id, us ORDER BY seq
                    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS us, 'read' AS kind, success,
                  CASE WHEN NOT success THEN 'read failed' END AS error FROM items
