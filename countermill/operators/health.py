@@ -96,15 +96,20 @@ def health_fold(
     upto = Window.partitionBy(*keys, "_slice").orderBy("us", "seq")
     running = upto.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
-    inside = (
-        events.withColumn("_slice", slice_start(F.col("us"), slice_us))
-        .repartition(*keys, "_slice")
-        .withColumn("_reads", F.sum(reads.cast("bigint")).over(running))
-        .withColumn("_oks", F.sum(succeeded.cast("bigint")).over(running))
-        .withColumn("_prev", F.lag("us").over(upto))
-        .withColumn("_renewed", F.max(F.when(renews, F.col("_reads"))).over(running))
-        .withColumn("_ok", F.last(F.when(succeeded, F.struct("us", F.col("_prev").alias("prev"))), True).over(running))
-        .withColumn("_err", F.last(F.when(F.col("kind") != "remove", own_error), True).over(running))
+    cut = events.withColumn("_slice", slice_start(F.col("us"), slice_us))
+    # The explicit filter keeps both uses of the shuffle alike, so that it is made once.
+    spread = cut.filter(F.col("_slice").isNotNull()).repartition(*keys, "_slice")
+    counted = spread.select(
+        "*",
+        F.sum(reads.cast("bigint")).over(running).alias("_reads"),
+        F.sum(succeeded.cast("bigint")).over(running).alias("_oks"),
+        F.lag("us").over(upto).alias("_prev"),
+        F.last(F.when(F.col("kind") != "remove", own_error), True).over(running).alias("_err"),
+    )
+    inside = counted.select(
+        "*",
+        F.max(F.when(renews, F.col("_reads"))).over(running).alias("_renewed"),
+        F.last(F.when(succeeded, F.struct("us", F.col("_prev").alias("prev"))), True).over(running).alias("_ok"),
     )
 
     at = F.struct("us", "seq")
