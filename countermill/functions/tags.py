@@ -19,15 +19,6 @@ def _or_empty(tags: Column) -> Column:
     return F.coalesce(tags, F.create_map().cast(_EMPTY))
 
 
-def put(base: Column, extra: Column) -> Column:
-    """Entries of `extra` replace those of `base`; filtered first because duplicate keys raise."""
-    return F.map_concat(F.map_filter(base, lambda k, _: ~F.map_contains_key(extra, k)), extra)
-
-
-def put_if_absent(base: Column, extra: Column) -> Column:
-    return F.map_concat(base, F.map_filter(extra, lambda k, _: ~F.map_contains_key(base, k)))
-
-
 def enrich_tags(
     base: Column,
     name: Column,
@@ -41,8 +32,11 @@ def enrich_tags(
 ) -> Column:
     """Channel tags plus channel facts, then device tags and defaults where absent.
 
-    `timestamp_utc` is an argument, not a clock, so that results can be repeated.
+    `timestamp_utc` is an argument, not a clock, so that results can be repeated. Duplicate keys
+    raise in map_concat, so each part leaves out the keys that another part decides; the tests for
+    that look at the plain inputs only, as a nested map would be built again for every key.
     """
+    base = _or_empty(base)
     facts = _map(
         ("data_source", F.lit(DATA_SOURCE)),
         ("channel_name", name),
@@ -52,15 +46,29 @@ def enrich_tags(
         ("scale_factor", scale_factor),
         ("offset", F.when(offset != 0, offset)),
     )
-    present = F.map_filter(facts, lambda _, v: v.isNotNull())
-    tags = put(_or_empty(base), present)
+    always = ["data_source", "channel_name", "register_start", "register_count", "scale_factor"]
+
+    def kept(key: Column) -> Column:
+        described = (key == "channel_description") & ~is_blank(description)
+        shifted = (key == "offset") & (offset != 0)
+        return ~(key.isin(always) | described | F.coalesce(shifted, F.lit(False)))
+
+    parts = [F.map_filter(base, lambda k, _: kept(k)), F.map_filter(facts, lambda _, v: v.isNotNull())]
+    typed = F.map_contains_key(base, "device_type")
     if device_tags is not None:
-        prefixed = F.transform_keys(_or_empty(device_tags), lambda k, _: F.concat(F.lit("device_"), k))
-        tags = put_if_absent(tags, prefixed)
-    defaults = [("device_type", F.lit(DEVICE_TYPE))]
-    if timestamp_utc is not None:
-        defaults.append(("timestamp_utc", timestamp_utc))
-    return put_if_absent(tags, _map(*defaults))
+        device_tags = _or_empty(device_tags)
+        prefixed = F.transform_keys(device_tags, lambda k, _: F.concat(F.lit("device_"), k))
+        parts.append(F.map_filter(prefixed, lambda k, _: ~F.map_contains_key(base, k)))
+        typed = typed | F.map_contains_key(device_tags, "type")
+    defaults = _map(
+        ("device_type", F.when(~typed, F.lit(DEVICE_TYPE))),
+        (
+            "timestamp_utc",
+            F.lit(None) if timestamp_utc is None else F.when(~F.map_contains_key(base, "timestamp_utc"), timestamp_utc),
+        ),
+    )
+    parts.append(F.map_filter(defaults, lambda _, v: v.isNotNull()))
+    return F.map_concat(*parts)
 
 
 def shift_of(ts: Column, zone: str = "UTC") -> Column:
@@ -81,7 +89,8 @@ def shift_tag(
     pairs = [("location", location), ("shift", shift_of(ts, zone))]
     if processing_timestamp is not None:
         pairs.append(("processing_timestamp", processing_timestamp))
-    return put(_or_empty(base), _map(*pairs))
+    replaced = [key for key, _ in pairs]
+    return F.map_concat(F.map_filter(_or_empty(base), lambda k, _: ~k.isin(replaced)), _map(*pairs))
 
 
 def tags_text(tags: Column) -> Column:

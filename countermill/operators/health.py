@@ -56,22 +56,18 @@ def assign_epochs(events: DataFrame, present_at_start: bool = True, slice_us: in
     opens = F.col("kind").isin("start", "add")
     closes = F.col("kind").isin("remove", "stop")
     # Changes are few; what a change does depends on the change before it.
-    changes = events.filter(opens | closes).select("device_id", "us", "seq", "kind")
+    changes = events.filter(opens | closes)
     before = fill_forward(changes, ["device_id"], {"_was": opens}, inclusive=False, slice_us=slice_us)
     was = F.coalesce("_was", F.lit(present_at_start))
     effective = before.withColumn("_effective", opens != was)
     first = F.when(opens & F.col("_effective"), F.struct("us", "seq"))
     periods = fill_forward(effective, ["device_id"], {"_first": first}, slice_us=slice_us).select(
-        "device_id",
-        "us",
-        "seq",
+        *events.columns,
         F.struct(opens.alias("present"), F.col("_effective").alias("effective"), F.col("_first").alias("first")).alias(
             "_change"
         ),
     )
-    marked = events.join(periods, ["device_id", "us", "seq"], "left").withColumn(
-        "_change", F.when(opens | closes, F.col("_change"))
-    )
+    marked = events.filter(~(opens | closes)).unionByName(periods, allowMissingColumns=True)
     state = fill_forward(marked, ["device_id"], {"_state": F.col("_change")}, slice_us=slice_us)
     now = F.col("_state")
     counted = F.when(opens | closes, now["effective"]).otherwise(F.coalesce(now["present"], F.lit(present_at_start)))

@@ -54,7 +54,10 @@ def with_oldest(
     )
     asks = F.col("_slice") == slice_start(F.col(us), slice_us)
     reach = F.lit(window_us if inclusive else window_us - 1).cast("bigint")
-    role = F.explode(F.filter(F.array(F.when(F.col("_gate"), F.lit(0)), F.when(F.col("_asks"), F.lit(1))), F.isnotnull))
+    both, point_only, ask_only = F.array(F.lit(0), F.lit(1)), F.array(F.lit(0)), F.array(F.lit(1))
+    role = F.explode(
+        F.when(F.col("_gate") & F.col("_asks"), both).when(F.col("_gate"), point_only).when(F.col("_asks"), ask_only)
+    )
     # Only the asking copy of a row carries its other columns through the shuffle and the sort.
     needed = [*keys, us, seq, value]
 

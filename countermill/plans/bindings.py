@@ -132,7 +132,7 @@ def _choose(n: Column, *values: object, kind: str) -> Column:
 def fleet_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four channels per customer device, with different scales, limits and overflow tags."""
     base = _table(spark, sf_dir, "customer").select(
-        "c_custkey", "c_mktsegment", F.explode(F.array(*[F.lit(k) for k in range(4)])).alias("channel")
+        "c_custkey", "c_mktsegment", "c_acctbal", F.explode(F.array(*[F.lit(k) for k in range(4)])).alias("channel")
     )
     n, key = F.col("channel"), F.col("c_custkey")
     label = F.concat(_choose(n, "Production_", "Temperature_", "Flow_", "Channel_", kind="string"), key)
@@ -152,7 +152,7 @@ def fleet_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
         n.alias("channel"),
         label.alias("name"),
         _choose(n, F.concat(F.lit("Counter "), key), "Probe", "  ", None, kind="string").alias("description"),
-        ((key + n) % 11 != 0).alias("enabled"),
+        ((n != 3) | (F.col("c_acctbal") >= 0)).alias("enabled"),
         (n * 2).alias("start_register"),
         F.lit(2).alias("register_count"),
         _choose(n, 1.0, 0.1, 0.01, 0.5, kind="double").alias("scale_factor"),
@@ -180,19 +180,19 @@ def fleet_devices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def device_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The device to line mapping; every seventh device is on none."""
-    return _table(spark, sf_dir, "customer").filter(F.pmod("c_custkey", F.lit(7)) != 0).select(
+    """The device to line mapping; devices of customers in debt are on none."""
+    return _table(spark, sf_dir, "customer").filter(F.col("c_acctbal") >= 0).select(
         F.concat(F.lit("DEV_"), F.col("c_custkey")).alias("device_id"), F.col("c_mktsegment").alias("line")
     )
 
 
 def supplier_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Seven channels per supplier device; the last is off for every third device."""
+    """Seven channels per supplier device; the last is off where the balance is negative."""
     lines = F.explode(F.sequence(F.lit(1), F.lit(7))).alias("channel")
-    return _table(spark, sf_dir, "supplier").select("s_suppkey", lines).select(
+    return _table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal", lines).select(
         F.concat(F.lit("SUP_"), F.col("s_suppkey")).alias("device_id"),
         "channel",
-        ((F.col("channel") != 7) | (F.col("s_suppkey") % 3 != 0)).alias("enabled"),
+        ((F.col("channel") != 7) | (F.col("s_acctbal") >= 0)).alias("enabled"),
     )
 
 
@@ -244,7 +244,7 @@ def rule_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k % 113 == 0, F.repeat(F.col("p_name"), 20))
         .otherwise(F.col("p_name"))
         .alias("name"),
-        (k % 13 != 0).alias("enabled"),
+        (F.col("p_size") > 3).alias("enabled"),
         F.when(k % 127 == 0, F.lit(65530)).otherwise(k % 100).cast("int").alias("start_register"),
         F.when(k % 127 == 0, F.lit(10)).when(k % 131 == 0, F.lit(0)).otherwise(F.lit(2)).alias("register_count"),
         F.when(k % 137 == 0, F.lit(0.0)).otherwise(F.lit(1.0)).alias("scale_factor"),

@@ -39,7 +39,7 @@ CTES: dict[str, str] = {
                CASE n WHEN 0 THEN 'Production_' WHEN 1 THEN 'Temperature_' WHEN 2 THEN 'Flow_' ELSE 'Channel_' END
                  || CAST(c_custkey AS VARCHAR) AS name,
                CASE n WHEN 0 THEN 'Counter ' || CAST(c_custkey AS VARCHAR) WHEN 1 THEN 'Probe' WHEN 2 THEN '  ' END AS description,
-               (c_custkey + n) % 11 <> 0 AS enabled, n * 2 AS start_register, 2 AS register_count,
+               (n <> 3 OR c_acctbal >= 0) AS enabled, n * 2 AS start_register, 2 AS register_count,
                CAST(CASE n WHEN 0 THEN 1.0 WHEN 1 THEN 0.1 WHEN 2 THEN 0.01 ELSE 0.5 END AS DOUBLE) AS scale_factor,
                CAST(CASE n WHEN 0 THEN 0.0 WHEN 1 THEN -273.15 WHEN 2 THEN 0.0 ELSE 100.0 END AS DOUBLE) AS "offset",
                CASE n WHEN 0 THEN 'parts' WHEN 1 THEN 'celsius' WHEN 2 THEN 'litres' ELSE 'counts' END AS unit,
@@ -52,9 +52,9 @@ CTES: dict[str, str] = {
         FROM customer CROSS JOIN (SELECT CAST(unnest(range(4)) AS INTEGER) AS n)""",
     "devices": """
         SELECT 'DEV_' || CAST(c_custkey AS VARCHAR) AS device_id, c_mktsegment AS line,
-               'site_' || CAST(c_nationkey AS VARCHAR) AS location, c_custkey
+               'site_' || CAST(c_nationkey AS VARCHAR) AS location, c_acctbal
         FROM customer""",
-    "lines": "SELECT device_id, line FROM devices WHERE c_custkey % 7 <> 0",
+    "lines": "SELECT device_id, line FROM devices WHERE c_acctbal >= 0",
     "decoded": """
         SELECT p.*, c.* EXCLUDE (device_id, channel),
                CASE WHEN len(registers) >= 2 THEN (CAST(registers[2] AS BIGINT) << 16) | registers[1]
@@ -150,7 +150,7 @@ CTES: dict[str, str] = {
                l_orderkey * 10000000 + l_partkey * 10 + l_linenumber AS seq
         FROM lineitem""",
     "supplier_channels": """
-        SELECT 'SUP_' || CAST(s_suppkey AS VARCHAR) AS device_id, n AS channel, n <> 7 OR s_suppkey % 3 <> 0 AS enabled
+        SELECT 'SUP_' || CAST(s_suppkey AS VARCHAR) AS device_id, n AS channel, n <> 7 OR s_acctbal >= 0 AS enabled
         FROM supplier CROSS JOIN (SELECT CAST(unnest(range(1, 8)) AS INTEGER) AS n)""",
     "log": """
         SELECT device_id, us, event_id AS seq,
@@ -164,7 +164,7 @@ CTES: dict[str, str] = {
                CAST(CASE WHEN k % 101 = 0 THEN 300 WHEN k % 103 = 0 THEN -1 WHEN k % 107 = 0 THEN (k + 1) % 8
                          ELSE k % 8 END AS INTEGER) AS channel,
                CASE WHEN k % 109 = 0 THEN ' ' WHEN k % 113 = 0 THEN repeat(p_name, 20) ELSE p_name END AS name,
-               k % 13 <> 0 AS enabled,
+               p_size > 3 AS enabled,
                CASE WHEN k % 127 = 0 THEN 65530 ELSE k % 100 END AS start_register,
                CASE WHEN k % 127 = 0 THEN 10 WHEN k % 131 = 0 THEN 0 ELSE 2 END AS register_count,
                CASE WHEN k % 137 = 0 THEN 0.0 ELSE 1.0 END AS scale_factor,

@@ -20,6 +20,7 @@ def build_session(cores: int | str = "*", app: str = "countermill", shuffle_part
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", os.environ.get("COUNTERMILL_DRIVER_MEMORY", "8g"))
         .getOrCreate()

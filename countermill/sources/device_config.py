@@ -138,12 +138,15 @@ def _flat(struct: str, schema: T.StructType, skip: tuple[str, ...] = ()) -> list
     return [F.col(f"{struct}.{f.name}").alias(_snake(f.name)) for f in schema.fields if f.name not in skip]
 
 
-def read_config_documents(spark: SparkSession, path: str, root: str | None = "AdamLogger") -> DataFrame:
-    """Fleet documents, one per file; `root` names the section that holds the settings.
+def read_config_documents(
+    spark: SparkSession, path: str, root: str | None = "AdamLogger", lines: bool = False
+) -> DataFrame:
+    """Configuration documents, one per file or, with `lines`, one per line.
 
-    A file without that section is taken as the settings themselves.
+    `root` names the section that holds the settings; a document without it is taken as the
+    settings themselves. A document is one row, so keep large fleets as lines of few devices.
     """
-    text = spark.read.text(path, wholetext=True)
+    text = spark.read.text(path, wholetext=not lines)
     return parse_config_documents(text, "value", root)
 
 
@@ -192,9 +195,11 @@ def channels_of(documents: DataFrame) -> DataFrame:
     )
 
 
-def load_device_config(spark: SparkSession, path: str, root: str | None = "AdamLogger") -> tuple[DataFrame, DataFrame]:
+def load_device_config(
+    spark: SparkSession, path: str, root: str | None = "AdamLogger", lines: bool = False
+) -> tuple[DataFrame, DataFrame]:
     """The device and channel tables of the configuration files below `path`."""
-    documents = read_config_documents(spark, path, root)
+    documents = read_config_documents(spark, path, root, lines)
     return devices_of(documents), channels_of(documents)
 
 

@@ -230,6 +230,13 @@ def test_load_device_config(spark, tmp_path):
     assert [(r["poll_interval_ms"], r["batch_size"]) for r in fleets] == [(1000, 100), (5000, 100)]
 
 
+def test_documents_as_lines(spark, tmp_path):
+    one = {"Devices": [{"DeviceId": "A", "Channels": [{"ChannelNumber": 1, "Name": "a"}]}]}
+    (tmp_path / "fleet.jsonl").write_text(json.dumps(one) + "\n" + json.dumps(DOCUMENT) + "\n")
+    devices, channels = load_device_config(spark, str(tmp_path), lines=True)
+    assert (devices.count(), channels.count()) == (2, 4)
+
+
 def test_parse_documents_in_a_column(spark):
     docs = spark.createDataFrame([(json.dumps(DOCUMENT),)], "doc string")
     parsed = parse_config_documents(docs, "doc")
