@@ -83,8 +83,9 @@ def event_polls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_polls_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # A stream takes folders or patterns; this pattern fits one file as well as a folder of parts.
     return stream_register_log(
-        spark, sf_dir, schema=EVENTS_SCHEMA, mapping=event_polls_mapping(), file_filter="events.parquet"
+        spark, f"{sf_dir}/events.parque[t]", schema=EVENTS_SCHEMA, mapping=event_polls_mapping()
     )
 
 

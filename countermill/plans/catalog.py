@@ -677,7 +677,7 @@ def validate_fleet(spark, sf):
 
 @query
 def config_gate(spark, sf):
-    """Polls of the devices whose own and channel settings have no finding."""
+    """Devices whose own and channel settings have no finding."""
     devices, channels = B.rule_devices(spark, sf).drop("fleet_id"), B.rule_channels(spark, sf)
     return config_rules.config_gate(devices, config_rules.validate_devices(devices, channels)).select(
         "device_id", "ip_address"

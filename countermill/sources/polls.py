@@ -35,11 +35,8 @@ def stream_register_log(
     schema: T.StructType | None = None,
     mapping: dict[str, Column] | None = None,
     files_per_batch: int = 64,
-    file_filter: str | None = None,
 ) -> DataFrame:
     """The same as a stream; `files_per_batch` bounds the rows of a micro-batch."""
     require_utc(spark)
     reader = spark.readStream.schema(schema or REGISTER_LOG).option("maxFilesPerTrigger", files_per_batch)
-    if file_filter:
-        reader = reader.option("pathGlobFilter", file_filter)
     return _shape(reader.format(fmt).load(folder), mapping)

@@ -36,12 +36,15 @@ def fan_out(rows: DataFrame, writers: dict[str, Writer], checkpoint: str, mode:
     """
 
     def deliver(batch: DataFrame, number: int) -> None:
-        batch.persist()
+        shared = len(writers) > 1
+        if shared:
+            batch.persist()
         try:
             for write in writers.values():
                 write(batch, number)
         finally:
-            batch.unpersist()
+            if shared:
+                batch.unpersist()
 
     return (
         rows.writeStream.outputMode(mode)
@@ -61,11 +64,20 @@ def batch_writer(path: str, shape: Callable[[DataFrame], DataFrame] = lambda df:
     return write
 
 
+def whole_writer(path: str) -> Writer:
+    """A writer for complete results: each micro-batch replaces the one before."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    return write
+
+
 def write_stream(rows: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Everything that has arrived so far, as files; then the query ends.
 
-    Append uses the file sink. Update and complete results change after they were written, so
-    each micro-batch keeps a folder of its own.
+    Append uses the file sink. In update mode each micro-batch keeps a folder of its own, and a
+    complete result replaces the one before.
     """
     if mode == "append":
         return (
@@ -75,7 +87,8 @@ def write_stream(rows: DataFrame, path: str, checkpoint: str, mode: str = "appen
             .trigger(availableNow=True)
             .start(path)
         )
-    return fan_out(rows, {"files": batch_writer(path)}, checkpoint, mode)
+    writer = whole_writer(path) if mode == "complete" else batch_writer(path)
+    return fan_out(rows, {"files": writer}, checkpoint, mode)
 
 
 def replay(rows: DataFrame, folder: str, mode: str = "append") -> DataFrame:

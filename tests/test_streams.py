@@ -100,6 +100,15 @@ def test_windows_on_a_stream(spark, tmp_path):
     assert buffers.groupBy("window_start").count().select("count").distinct().collect()[0][0] == 10
 
 
+def test_complete_result_replaces_itself(spark, tmp_path):
+    """Three micro-batches leave one result, not three."""
+    rows = spark.range(90).select(F.timestamp_micros(F.lit(BASE * SECOND_US) + F.col("id") * 500_000).alias("ts"))
+    rows.coalesce(1).write.option("maxRecordsPerFile", 30).parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    sizes = replay(rollups.non_empty_batches(stream, "10 seconds"), str(tmp_path / "run"), "complete")
+    assert sorted(r["readings"] for r in sizes.collect()) == [10, 20, 20, 20, 20]
+
+
 def test_watermark_closes_windows(spark, tmp_path):
     late = rollups.late_data(ticks(spark, str(tmp_path / "in")), "5 seconds")
     hours = rollups.tumbling_window(late, [F.count(F.lit(1)).alias("n")], "10 seconds")
