@@ -4,8 +4,8 @@ A window over a whole series puts every row of one busy device into one task. Th
 partition by key *and* time slice instead, so that a hot series spreads over as many tasks as it
 has slices, and bring in what a slice needs from outside it:
 
-* a bounded frame needs only the rows shortly before the slice (`with_oldest` copies them over);
-* an unbounded one needs one summary row per slice (`fill_forward` carries it along).
+* a short frame needs only the rows shortly before the slice (`with_oldest` copies them over);
+* a long or unbounded one needs one summary row per slice (`fill_forward` carries it along).
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from countermill.vocab import DAY_US
+from countermill.vocab import DAY_US, HOUR_US
 
 
 def slice_start(us: Column, width_us: int) -> Column:
@@ -35,59 +35,67 @@ def with_oldest(
     """Add `oldest`: the first (us, seq, value) within the window that ends at each row.
 
     Each row asks for the first point at or after `us - window`. Points and questions of a slice
-    are sorted together, newest first, and the last point passed is the answer. That takes one
-    shuffle and a sort whatever the number of points per window, where a sliding RANGE frame
-    would rescan the frame for every row.
+    are sorted together, newest first, and the last point passed is the answer. That sorts once
+    whatever the number of points per window, where a sliding RANGE frame would rescan the frame
+    for every row.
+
+    Slices as wide as the window or wider get the points they share with the next slice copied
+    over. Narrower slices, the choice for windows of more than an hour, carry one summary row per
+    slice instead, so the width of the window does not limit how finely a busy series is cut.
 
     Rows whose `gate` is false are no points and get no answer of their own.
     """
-    slice_us = slice_us or 4 * window_us
-    if slice_us < window_us:
-        raise ValueError("a slice must be at least as wide as the window")
+    if slice_us is None:
+        slice_us = 4 * window_us if window_us <= HOUR_US else HOUR_US
     gate = F.lit(True) if gate is None else F.coalesce(gate, F.lit(False))
-    home = slice_start(F.col(us), slice_us)
-    following = home + F.lit(slice_us).cast("bigint")
-    # A point within the last window of a slice may be the oldest one of a row in the next slice.
-    reaches_next = gate & (F.col(us) >= following - F.lit(window_us))
-    copies = df.withColumn("_gate", gate).withColumn(
-        "_slice", F.explode(F.when(reaches_next, F.array(home, following)).otherwise(F.array(home)))
-    )
-    asks = F.col("_slice") == slice_start(F.col(us), slice_us)
-    reach = F.lit(window_us if inclusive else window_us - 1).cast("bigint")
-    both, point_only, ask_only = F.array(F.lit(0), F.lit(1)), F.array(F.lit(0)), F.array(F.lit(1))
-    role = F.explode(
-        F.when(F.col("_gate") & F.col("_asks"), both).when(F.col("_gate"), point_only).when(F.col("_asks"), ask_only)
-    )
     # Only the asking copy of a row carries its other columns through the shuffle and the sort.
     needed = [*keys, us, seq, value]
 
     def slim(carrier: Column) -> list[Column]:
         return [F.col(c) if c in needed else F.when(carrier, F.col(c)).alias(c) for c in df.columns]
 
-    roles = (
-        copies.select(*slim(asks), "_gate", "_slice", asks.alias("_asks"))
-        .repartition(*keys, "_slice")
-        .withColumn("_role", role)
-        .select(
+    def with_roles(rows: DataFrame, asks: Column) -> DataFrame:
+        """A row as a point (0), a question (1) or both; `_at` is the time it stands for."""
+        both, point_only, ask_only = F.array(F.lit(0), F.lit(1)), F.array(F.lit(0)), F.array(F.lit(1))
+        role = F.when(F.col("_gate") & asks, both).when(F.col("_gate"), point_only).when(asks, ask_only)
+        reach = F.lit(window_us if inclusive else window_us - 1).cast("bigint")
+        kept = [c for c in rows.columns if c not in df.columns]
+        return rows.withColumn("_role", F.explode(role)).select(
             *slim(F.col("_role") == 1),
-            "_gate",
-            "_slice",
+            *kept,
             "_role",
             F.when(F.col("_role") == 1, F.col(us) - reach).otherwise(F.col(us)).alias("_at"),
         )
-    )
-    newest_first = (
-        Window.partitionBy(*keys, "_slice")
-        .orderBy(F.col("_at").desc(), F.col("_role").asc(), F.col(seq).desc())
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
+
     point = F.when(
         F.col("_role") == 0,
         F.struct(F.col(us).alias("us"), F.col(seq).alias("seq"), F.col(value).alias("value")),
     )
-    found = roles.withColumn("_found", F.last(point, ignorenulls=True).over(newest_first)).filter(F.col("_role") == 1)
-    return found.withColumn("oldest", F.when(F.col("_gate"), F.col("_found"))).drop(
-        "_gate", "_slice", "_role", "_at", "_found"
+    gated = df.withColumn("_gate", gate)
+
+    if slice_us < window_us:
+        backwards = with_roles(gated, F.lit(True)).withColumns({"_back": -F.col("_at"), "_last": -F.col(seq)})
+        found = fill_forward(backwards, keys, {"_found": point}, ["_back", "_role", "_last"], slice_us=slice_us)
+    else:
+        home = slice_start(F.col(us), slice_us)
+        following = home + F.lit(slice_us).cast("bigint")
+        # A point within the last window of a slice may be the oldest one of a row in the next slice.
+        reaches_next = F.col("_gate") & (F.col(us) >= following - F.lit(window_us))
+        copies = gated.withColumn(
+            "_slice", F.explode(F.when(reaches_next, F.array(home, following)).otherwise(F.array(home)))
+        )
+        asks = F.col("_slice") == home
+        spread = copies.select(*slim(asks), "_gate", "_slice", asks.alias("_asks")).repartition(*keys, "_slice")
+        newest_first = (
+            Window.partitionBy(*keys, "_slice")
+            .orderBy(F.col("_at").desc(), F.col("_role").asc(), F.col(seq).desc())
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        )
+        found = with_roles(spread, F.col("_asks")).withColumn(
+            "_found", F.last(point, ignorenulls=True).over(newest_first)
+        )
+    return found.filter(F.col("_role") == 1).select(
+        *df.columns, F.when(F.col("_gate"), F.col("_found")).alias("oldest")
     )
 
 

@@ -24,7 +24,6 @@ from countermill.streaming.health import stream_health as run_stream_health
 from countermill.streaming.pipelines import batch_writer, fan_out as run_fan_out, replay
 from countermill.streaming.pipelines import stream_process as run_stream_process
 from countermill.streaming.rates import stream_rate as run_stream_rate
-from countermill.vocab import DAY_US
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -69,11 +68,11 @@ def _probes(spark, sf):
 
 def _health(spark, sf):
     events = health.health_events(_polls(spark, sf), _probes(spark, sf))
-    return health.health_history(events, start_us=B.START_US, slice_us=DAY_US)
+    return health.health_history(events, start_us=B.START_US)
 
 
 def _read_health(spark, sf):
-    return health.health_history(health.health_events(_polls(spark, sf)), start_us=B.START_US, slice_us=DAY_US)
+    return health.health_history(health.health_events(_polls(spark, sf)), start_us=B.START_US)
 
 
 def _numbered(spark, sf):
@@ -551,12 +550,12 @@ def health_history(spark, sf):
 @query
 def last_successful_read(spark, sf):
     events = health.health_events(_polls(spark, sf), _probes(spark, sf))
-    return health.last_successful_read(events, B.START_US, DAY_US)
+    return health.last_successful_read(events, B.START_US)
 
 
 @query
 def health_epochs(spark, sf):
-    epochs = health.health_epochs(B.lifecycle_log(spark, sf), start_us=B.START_US, slice_us=DAY_US)
+    epochs = health.health_epochs(B.lifecycle_log(spark, sf), start_us=B.START_US)
     return epochs.select(*HEALTH_COLUMNS)
 
 
@@ -567,7 +566,7 @@ def cycle_overrun(spark, sf):
 
 @query
 def poll_gaps(spark, sf):
-    gaps = rollups.poll_gaps(B.lineitem_polls(spark, sf), 30 * 86400 * 1000, slice_us=400 * DAY_US)
+    gaps = rollups.poll_gaps(B.lineitem_polls(spark, sf), 30 * 86400 * 1000)
     return gaps.select("device_id", "channel", "us", "seq", "previous_us", "gap_us")
 
 
