@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -41,6 +42,5 @@ def work_folder(spark: SparkSession, label: str) -> str:
     """
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if shared:
-        run = spark._jvm.java.util.UUID.randomUUID().toString()
-        return f"{shared.rstrip('/')}/{label}-{run}"
+        return f"{shared.rstrip('/')}/{label}-{uuid.uuid4()}"
     return tempfile.mkdtemp(prefix=f"countermill-{label}-")

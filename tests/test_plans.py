@@ -7,6 +7,8 @@ import re
 import pytest
 
 import __spark_entry__ as entry
+from countermill.operators.readings import process_readings
+from countermill.plans import bindings
 
 SF = "/root/testdata/sf0.001"
 
@@ -27,11 +29,21 @@ def shuffles(text):
     return len(re.findall(r"(?<!Broadcast)(?<!Reused)Exchange hashpartitioning", re.sub(r"ReusedExchange.*", "", text)))
 
 
-def test_one_shuffle_for_the_readings(plan):
-    text = plan("process_readings")
+def test_one_shuffle_for_the_readings(plan, spark):
+    df = process_readings(bindings.event_polls(spark, SF), bindings.fleet_channels(spark, SF))
+    text = df._jdf.queryExecution().executedPlan().toString()
     assert shuffles(text) == 1
     assert "hashpartitioning(device_id" in text and "_slice" in text
     assert "Python" not in text and "Arrow" not in text
+    names = next(line for line in text.splitlines() if "Exchange hashpartitioning" in line)
+    assert "_slice" in names
+
+
+def test_a_long_window_shuffles_rows_once(plan):
+    """The rows by slice, the summaries by series; no window of rows is as wide as the rate window."""
+    text = plan("counter_rate")
+    assert len(re.findall(r"hashpartitioning\(device_id#\d+, channel#\d+, _slice#\d+L", text)) >= 1
+    assert "3600000000" in text
 
 
 def test_filter_and_columns_reach_the_scan(plan):

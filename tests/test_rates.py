@@ -107,7 +107,8 @@ def test_equals_replay(spark, seed, window, inclusive, width):
     assert {(r["device_id"], r["channel"], r["seq"]): r["rate"] for r in got} == want
 
 
-def test_hot_series_spreads(spark):
+@pytest.mark.parametrize("window", [300, 7200])
+def test_hot_series_spreads(spark, window):
     """One series is cut into many (key, slice) groups, not handled by one task."""
     n = 50_000
     hot = spark.range(n).select(
@@ -117,11 +118,12 @@ def test_hot_series_spreads(spark):
         F.col("id").alias("seq"),
         F.col("id").alias("raw_value"),
     )
-    rated = counter_rate(hot)
+    rated = counter_rate(hot, window)
     assert rated.agg(F.count("rate"), F.min("rate"), F.max("rate")).first() == (n - 1, 1.0, 1.0)
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        sizes = [r["count"] for r in rated.groupBy(F.spark_partition_id()).count().collect()]
+        per_task = rated.groupBy(F.spark_partition_id().alias("p")).agg(F.count("rate").alias("n"))
+        sizes = [r["n"] for r in per_task.collect()]
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
-    assert len(sizes) == 4 and max(sizes) < 0.5 * n
+    assert len(sizes) == 4 and max(sizes) < 0.6 * n
