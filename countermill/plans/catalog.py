@@ -21,8 +21,8 @@ from countermill.plans import bindings as B
 from countermill.session import work_folder
 from countermill.sources import device_config, sinks
 from countermill.streaming.health import stream_health as run_stream_health
-from countermill.streaming.pipelines import batch_writer, fan_out as run_fan_out, replay
-from countermill.streaming.pipelines import stream_process as run_stream_process
+from countermill.streaming.delivery import batch_writer, fan_out as run_fan_out, replay
+from countermill.streaming.delivery import stream_process as run_stream_process
 from countermill.streaming.rates import stream_rate as run_stream_rate
 
 Query = Callable[[SparkSession, str], DataFrame]

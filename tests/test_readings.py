@@ -6,7 +6,7 @@ import json
 import pandas as pd
 from pyspark.sql import functions as F
 
-from countermill.operators import rollups
+from countermill.operators import filters, rollups
 from countermill.operators.hooks import custom_transformer, custom_validator
 from countermill.operators.readings import process_readings, read_and_log
 from countermill.schemas import REGISTER_LOG
@@ -128,6 +128,16 @@ def test_messages_and_audit(spark):
     assert [(r["Value"], r["Source"], r["UserId"], r["BatchId"]) for r in audit] == [(1000.0, "ADAM_Logger", "me", None)]
 
 
+def test_reading_filters(spark):
+    rows = spark.createDataFrame(
+        [("A", 501.0, 0, {"line": "x"}), ("A", 500.0, 1, {}), ("B", 900.0, 0, {}), ("B", None, 0, None)],
+        "device_id string, rate double, quality int, tags map<string,string>",
+    )
+    assert [r["rate"] for r in filters.high_rate_alerts(rows, "A").collect()] == [501.0]
+    assert filters.high_rate_alerts(rows).count() == 2
+    assert (filters.good_readings(rows).count(), filters.has_tag(rows, "line").count()) == (3, 1)
+
+
 def test_rollups(spark):
     rows = spark.createDataFrame(
         [("A", 0, T0, 1, 10.0, 4000), ("A", 0, T0 + datetime.timedelta(seconds=3), 2, 30.0, 6000), ("B", 0, T0 + datetime.timedelta(hours=1), 3, None, 8000)],

@@ -11,7 +11,7 @@ from countermill.operators.readings import process_readings
 from countermill.schemas import REGISTER_LOG
 from countermill.sources.polls import read_register_log, stream_register_log
 from countermill.streaming.health import stream_health
-from countermill.streaming.pipelines import batch_writer, fan_out, replay, stream_process
+from countermill.streaming.delivery import batch_writer, fan_out, replay, stream_process
 from countermill.streaming.rates import stream_rate
 from test_config import channel_rows
 from test_health import SCHEMA as EVENT_SCHEMA
