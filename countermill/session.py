@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -36,11 +37,30 @@ def require_utc(spark: SparkSession) -> SparkSession:
 
 
 def work_folder(spark: SparkSession, label: str) -> str:
-    """A new folder path under the session's shared checkpoint folder.
+    """A new folder path for tables that a query writes and reads again.
 
-    Only where ``spark.checkpoint.dir`` is unset, as in tests, a temporary folder stands in.
+    It is under ``spark.checkpoint.dir``, which driver and executors share. Where that is unset, a
+    temporary folder stands in under a ``local`` master only, where all work is on one machine; any
+    other master is refused. What a session made is removed when its JVM ends.
     """
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/{label}-{uuid.uuid4()}"
-    return tempfile.mkdtemp(prefix=f"countermill-{label}-")
+    return f"{_session_folder(spark)}/{label}-{uuid.uuid4()}"
+
+
+def _session_folder(spark: SparkSession) -> str:
+    context = spark.sparkContext
+    if context.applicationId not in _FOLDERS:
+        shared = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not shared:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            shared = tempfile.gettempdir()
+        folder = f"{shared.rstrip('/')}/countermill-{context.applicationId}"
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(context._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _FOLDERS[context.applicationId] = folder
+    return _FOLDERS[context.applicationId]
+
+
+_FOLDERS: dict[str, str] = {}
