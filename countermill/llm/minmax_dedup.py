@@ -184,7 +184,7 @@ def without_near_duplicates(documents: DataFrame, percent: int = 80) -> DataFram
     """The documents that stay: one of each component, and of rows with one doc_id the one with the
     smallest text. Rows without an id all stay."""
     gone = near_duplicates(documents, percent).where("not kept").select("doc_id").distinct()
-    left = documents.join(gone, "doc_id", "left_anti")
-    salt = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
-    place = F.row_number().over(Window.partitionBy("doc_id", salt).orderBy("text"))
-    return left.withColumn("_place", place).where("_place = 1 or doc_id is null").drop("_place").select(*documents.columns)
+    left = documents.join(gone, "doc_id", "left_anti").select(F.struct(*documents.columns).alias("d"))
+    salt = F.when(F.col("d.doc_id").isNull(), F.xxhash64("d.text"))
+    place = F.row_number().over(Window.partitionBy("d.doc_id", salt).orderBy("d.text"))
+    return left.select("d", place.alias("place")).where("place = 1 or d.doc_id is null").select("d.*")

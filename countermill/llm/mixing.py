@@ -113,18 +113,11 @@ def mix(
 def mixed_documents(documents: DataFrame, **options) -> DataFrame:
     """The documents of the mix, each as often as it is taken. A document at the border of its source's
     fraction is taken whole once more if at least half of it is, so that no text is cut."""
-    counts = (
-        mix(documents, **options)
-        .where("taken > 0")
-        .groupBy("doc_id")
-        .agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias("_copies"))
-        .where("_copies > 0")
-        .withColumnRenamed("doc_id", "_id")
-    )
-    repeated = documents.join(counts, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return repeated.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(
-        *[documents[name] for name in documents.columns]
-    )
+    copies = F.round(F.sum("taken") / F.sum("size")).cast("int")
+    counts = mix(documents, **options).where("taken > 0").groupBy("doc_id").agg(copies.alias("copies")).where("copies > 0")
+    whole = documents.select(F.struct("*").alias("d")).alias("w")
+    repeated = whole.join(counts.alias("c"), F.col("w.d.doc_id").eqNullSafe(F.col("c.doc_id")))
+    return repeated.select("d", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("d.*")
 
 
 SQL = r"""

@@ -62,7 +62,7 @@ def coordinates(text: str, hashes: PlainHashes) -> np.ndarray:
 class Ftrl:
     """FTRL-proximal with per-coordinate rates and L1 and L2 penalties; coordinate 2**BITS is the intercept."""
 
-    def __init__(self, alpha: float = 0.3, beta: float = 1.0, l1: float = 1.0, l2: float = 1.0):
+    def __init__(self, alpha: float = 3.0, beta: float = 1.0, l1: float = 5.0, l2: float = 0.0):
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
         self.z, self.n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
 
@@ -81,7 +81,7 @@ class Ftrl:
         self.n[at] = after
 
 
-def train(documents: DataFrame, labels: DataFrame, sample: int = 12_000, epochs: int = 4, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+def train(documents: DataFrame, labels: DataFrame, sample: int = 12_000, epochs: int = 5, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     """Coordinates and weights that are not zero."""
     known = (
         labels.where("doc_id is not null and toxic is not null")

@@ -54,23 +54,26 @@ def measures(text: bytes, words: list[bytes]) -> tuple[float, ...]:
         sum(map(bytes.__eq__, lower, lower[1:])) / n,
         1 - len(set(lines)) / len(lines),
         len(set(lower)) / n ** 0.75,
-        sum(map(FUNCTION_TEXTS.__contains__, lower)) / n,
+        # a short text may well have none
+        sum(map(FUNCTION_TEXTS.__contains__, lower)) / n if n >= 30 else 0.07,
         sum(map(len, words)) / n,
     )
 
 
 FUNCTION_TEXTS = frozenset(w.encode() for w in FUNCTION_WORDS)
-#: Per labeller: bad above, good below (or the other way round where bad < good); between is no vote.
+#: Per labeller: bad above, good below (or the other way round where bad < good); between is no vote. Junk is of
+#: one kind or another, so what finds one kind has no opinion on texts without it: those labellers never vote good.
+NEVER = -1.0
 LIMITS = {
-    "symbols": (0.15, 0.02),
-    "pipes": (0.08, 0.01),
-    "marks": (0.25, 0.05),
-    "upper": (0.5, 0.15),
-    "echo": (0.2, 0.05),
-    "lines": (0.5, 0.1),
-    "distinct": (0.5, 1.0),
+    "symbols": (0.05, NEVER),
+    "pipes": (0.05, NEVER),
+    "marks": (0.2, NEVER),
+    "upper": (0.5, NEVER),
+    "echo": (0.12, NEVER),
+    "lines": (0.5, NEVER),
+    "distinct": (0.5, 1.4),
     "function": (0.02, 0.12),
-    "length": (20.0, 12.0),
+    "length": (20.0, NEVER),
 }
 
 
@@ -104,12 +107,12 @@ def pattern_counts(documents: DataFrame) -> DataFrame:
 
 def fit_labellers(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray, float]:
     """EM for two classes and independent labellers: per pattern the posterior of good, per labeller
-    P(vote | class), and the share of good. Starts from the majority of votes; the pseudo-counts say that a
-    labeller is right more often than not, which keeps the classes from changing places."""
+    P(vote | class), and the share of good. Starts from any vote for bad; the pseudo-counts say that a labeller
+    seldom calls a good document bad, which keeps the classes from changing places."""
     marks = digits(patterns)
     one_hot = (marks[:, :, None] == np.arange(3)).astype(float)
-    good = 1 / (1 + np.exp(-2.0 * ((marks == 1).sum(1) - 3.0 * (marks == 2).sum(1)) + 2.0))
-    prior = np.array([[[1.0, 8.0, 0.5]], [[1.0, 2.0, 4.0]]]) * max(1.0, counts.sum() / 1000)
+    good = 1 / (1 + np.exp(4.0 * (marks == 2).sum(1) - (marks == 1).sum(1) - 1.0))
+    prior = np.array([[[4.0, 4.0, 0.2]], [[2.0, 1.0, 2.0]]]) * max(1.0, counts.sum() / 1000)
     share = 0.5
     for _ in range(rounds):
         weight = np.stack([good, 1 - good]) * counts
@@ -125,7 +128,7 @@ class Shapes(dict):
     """Two hashed features of a word: its shape and its last characters' kinds."""
 
     def __missing__(self, word: bytes) -> tuple[int, int]:
-            if len(self) > 400_000:
+        if len(self) > 400_000:
             self.clear()
         kinds = bytes(_KIND[b] for b in word)
         shape = bytes(b for i, b in enumerate(kinds) if not i or kinds[i - 1] != b)
