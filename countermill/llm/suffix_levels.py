@@ -12,11 +12,12 @@ into segments by them, is merge-scanned against every level there is: equal neig
 Then it becomes a level itself, and while two levels have the same rank they merge into one of the next.
 A level keeps one entry per key and run content, whatever the number of copies.
 
-A match of equal runs settles all their windows at once. Where runs agree on a side but not whole,
-at the ends of repeats, their windows are compared one by one, by 96 bits of two fingerprints. A key
-with more than MOST different runs, such as a passage in a third of all texts, keeps MOST of them in a
-level; the others are all compared by window, so none is lost. Tasks merge what they hold before it is
-shuffled, so a key or a window has at most MOST entries, or one, from each task's chunk.
+A match of equal runs settles all their windows at once. Where runs agree on a side but not whole, at the
+ends of repeats, the bytes of that side's windows go to one place per key and are compared window by
+window. A key with more than MOST different runs, such as a passage in a third of all texts, keeps MOST of
+them in a level, and all its windows are dealt out by their own fingerprints instead, so none is lost and
+no key is ever gathered. Tasks merge what they hold before it is shuffled, so a key has at most MOST
+entries, and a window one, from each task's chunk. Windows are equal if 96 bits of two fingerprints are.
 
 Defined results: null text: no bytes. Texts shorter than LENGTH: nothing removed. Repeated rows are
 copies of each other and go whole if they are long enough. Rows with one id are judged each by its own
@@ -45,7 +46,7 @@ PIECE = 1 << 20
 #: One random 64-bit number per byte value, and two odd bases for rolling sums.
 BYTES = mixed(np.arange(1, 257, dtype=np.uint64))
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
-DUP, PART = 1, 2
+DUP, PART, HOT, RIGHT = 1, 2, 4, 128
 
 
 class Rolling:
@@ -136,9 +137,9 @@ def document_entries(doc: int, text: bytes) -> np.ndarray:
     found = []
     for _, part in pieces(text):
         runs = Runs(part)
-        for key, which in runs.sides():
+        for side, (key, which) in enumerate(runs.sides()):
             own = np.zeros(len(which), ENTRY)
-            own["key"], own["content"], own["doc"] = key, runs.content[which], doc
+            own["key"], own["content"], own["doc"], own["flag"] = key, runs.content[which], doc, side * RIGHT
             found.append(own)
     if not found:
         return np.zeros(0, ENTRY)
@@ -154,7 +155,8 @@ def packed_entries(documents: DataFrame, batches: int, segments: int, flush: int
 
     def emit(held: dict[int, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
         for batch, parts in held.items():
-            found, rows = merge_scan(np.concatenate(parts), np.zeros(0, ENTRY))
+            rows = np.concatenate(parts)
+            found, rows = merge_scan(rows, np.zeros(len(rows), bool), np.ones(len(rows), bool))
             cuts = np.searchsorted(rows["key"] >> shift, np.arange(segments + 1, dtype=np.uint64))
             own = [(s, rows[a:b].tobytes()) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
             own.append((FOUND, found.tobytes()))
@@ -185,13 +187,15 @@ def doc_key():
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc")
 
 
-def merge_scan(new: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted entries of a new batch against those of a level. Returns what was found, as entries with the
-    flags that are news to them, and the level that holds both, one entry per key and content."""
-    rows = np.concatenate([level, new])
-    old = np.arange(len(rows)) < len(level)
+def merge_scan(rows: np.ndarray, old: np.ndarray, merged: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Entries of a new batch and of levels (old), scanned in one order. Returns what was found, as entries
+    with the flags that are news to them, and a level of the merged entries: one per key and content, at
+    most MOST per key.
+
+    DUP: the run repeats whole. PART: its key has other runs too, so its windows are to be compared; that
+    is said once per content. HOT: the key has more than MOST runs."""
     order = np.lexsort((rows["doc"], ~old, rows["content"], rows["key"]))
-    rows, old = rows[order], old[order]
+    rows, merged = rows[order], merged[order]
     if not len(rows):
         return rows, rows
     new_key = np.concatenate([[True], rows["key"][1:] != rows["key"][:-1]])
@@ -199,16 +203,24 @@ def merge_scan(new: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarr
     heads = np.flatnonzero(new_class)
     size = np.diff(np.append(heads, len(rows)))
     flags = np.bitwise_or.reduceat(rows["flag"], heads)
-    dup = (size > 1) | (flags & DUP > 0)
     keys = np.cumsum(new_key)[heads] - 1
-    part = np.bincount(keys)[keys] > 1
+    runs = np.bincount(keys)[keys]
+    dup = np.where((size > 1) | (flags & DUP > 0), DUP, 0).astype(np.uint8)
+    hot = np.bincount(keys, (flags & HOT) > 0)[keys] > 0
+    part = np.where(runs > 1, PART, 0) | np.where((runs > MOST) | hot, PART | HOT, 0) | (flags & RIGHT)
     out = rows.copy()
-    out["flag"] = np.repeat(np.where(dup, DUP, 0), size)
-    out["flag"][heads] |= np.where(part, PART, 0).astype(np.uint8) | flags
-    rank = np.arange(len(heads)) - np.flatnonzero(new_key[heads])[keys]
-    kept = out[heads[rank < MOST]]
-    out["flag"] &= ~rows["flag"]
-    return out[out["flag"] > 0], kept
+    out["flag"] |= np.repeat(dup, size)
+    out["flag"][heads] |= part.astype(np.uint8) | flags
+    level = np.flatnonzero(merged)
+    first = np.unique((np.cumsum(new_class) - 1)[level], return_index=True)
+    kept = rows[level[first[1]]]
+    kept["flag"] = (dup | part.astype(np.uint8) | flags)[first[0]]
+    own_keys = keys[first[0]]
+    rank = np.arange(len(kept)) - np.searchsorted(own_keys, own_keys)
+    news = out["flag"] & ~rows["flag"]
+    found = out[news > 0]
+    found["flag"] = news[news > 0] | (found["flag"] & RIGHT)
+    return found, kept[rank < MOST]
 
 
 class Levels:
@@ -231,23 +243,9 @@ class Levels:
         first_merged = len(self.levels) - merged
 
         def scan(table: pa.Table) -> pa.Table:
-            parts: dict[int, list[np.ndarray]] = {}
-            for place, data in zip(table["place"].to_pylist(), table["entries"].to_pylist(), strict=True):
-                parts.setdefault(place, []).append(np.frombuffer(data, ENTRY))
-            nothing = np.zeros(0, ENTRY)
-            new = np.concatenate(parts.pop(-1, [nothing]))
-            found, level = merge_scan(new, nothing)
-            finds = [found]
-            for place in sorted(parts, reverse=True):
-                other = np.concatenate(parts[place])
-                found, both = merge_scan(level, other)
-                finds.append(found)
-                if place >= first_merged:
-                    level = both
-                else:
-                    # a level that stays apart: its news and the batch's are remembered in the batch's entries
-                    level = carry_flags(level, both)
-            found = np.concatenate(finds)
+            parts = [np.frombuffer(data, ENTRY) for data in table["entries"].to_pylist()]
+            places = np.repeat(table["place"].to_numpy(), [len(p) for p in parts])
+            found, level = merge_scan(np.concatenate(parts), places >= 0, (places < 0) | (places >= first_merged))
             segment = table["segment"][0].as_py()
             return pa.table(
                 [pa.array(["level", "found"]), pa.array([segment] * 2, pa.int32()), pa.array([level.tobytes(), found.tobytes()], pa.binary())],
@@ -259,18 +257,9 @@ class Levels:
         self.found.append(out.where("kind = 'found'"))
 
 
-def carry_flags(level: np.ndarray, both: np.ndarray) -> np.ndarray:
-    """The entries of a level with the flags that a scan together with another level gave them."""
-    wide = lambda x: x[["key", "content"]].copy()
-    own, all_ = wide(level), wide(both)
-    at = np.searchsorted(all_, own)
-    out = level.copy()
-    out["flag"] |= both["flag"][at]
-    return out
-
-
 def matches(documents: DataFrame, batches: int, segments: int) -> DataFrame:
-    """doc, content, flag of every run that repeats whole (DUP) or has to be compared by window (PART)."""
+    """doc, content, flag of every run that repeats whole (DUP) or has windows to compare: PART and HOT of the
+    left side, and two bits higher of the right."""
     family = Levels()
     packed = stored(packed_entries(documents, batches, segments))
     for batch in range(batches):
@@ -280,7 +269,9 @@ def matches(documents: DataFrame, batches: int, segments: int) -> DataFrame:
         for part in rows:
             for data in part.column(0).to_pylist():
                 own = np.frombuffer(data, ENTRY)
-                columns = [own["doc"], own["content"].astype(np.int64), own["flag"].astype(np.int32)]
+                flag = own["flag"].astype(np.int32)
+                flag = ((flag & DUP) | ((flag & (PART | HOT)) << np.where(flag & RIGHT, 2, 0))).astype(np.int32)
+                columns = [own["doc"], own["content"].astype(np.int64), flag]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc", "content", "flag"])
 
     found = packed.where(F.col("segment") == FOUND).select("entries")
@@ -308,33 +299,39 @@ def digest(text: bytes, spans: np.ndarray) -> tuple[int, int, str]:
     return int((spans[:, 1] - spans[:, 0]).sum()), len(spans), code.hexdigest()
 
 
-def settled(text: bytes, flags: dict[int, int]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
-    """Starts of windows known to repeat, and (start, fingerprint, fingerprint) of those to compare."""
+SPAN = np.dtype([("key", "<u8"), ("start", "<u4"), ("n", "<u4"), ("hot", "u1")])
+
+
+def settled(text: bytes, flags: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of windows known to repeat, and spans of windows to compare. Windows with at least SIDE bytes
+    before the anchor belong to the left key, the others to the right one."""
     sure, compare = [], []
     for offset, part in pieces(text):
         runs, seen = Runs(part), set()
-        for r, content in enumerate(runs.content.astype(np.int64).tolist()):
-            flag = flags.get(content, 0)
-            first, last = int(runs.first[r]), int(runs.last[r])
-            if flag & DUP:
-                sure.append(np.arange(first, last + 1) + offset)
-            if flag & PART and content not in seen:
-                seen.add(content)
-                codes = (runs.roll.all(LENGTH, first, last + 1, k) for k in (0, 1))
-                compare.append((np.arange(first, last + 1) + offset, *codes))
-    return np.concatenate(sure) if sure else np.zeros(0, np.int64), compare
+        known = np.array([flags.get(c, 0) for c in runs.content.astype(np.int64).tolist()], np.int32)
+        for r in np.flatnonzero(known & DUP).tolist():
+            sure.append(np.arange(runs.first[r], runs.last[r] + 1) + offset)
+        for side, (keys, which) in enumerate(runs.sides()):
+            bits = known[which] >> 2 * side
+            for i in np.flatnonzero(bits & PART).tolist():
+                r = which[i]
+                if (side, int(runs.content[r])) in seen:
+                    continue
+                seen.add((side, int(runs.content[r])))
+                border = int(runs.anchor[r]) - SIDE
+                first, last = (int(runs.first[r]), min(border, int(runs.last[r]))) if side == 0 else (max(border, int(runs.first[r])), int(runs.last[r]))
+                compare.append((keys[i], first + offset, last - first + 1, bits[i] & HOT > 0))
+    return np.concatenate(sure) if sure else np.zeros(0, np.int64), np.array(compare, SPAN)
 
 
 FIRST = (
     "doc_id long, row long, n_bytes long, n_removed long, n_spans long, kept_sha256 string,"
-    " text binary, sure binary, windows binary"
+    " text binary, sure binary, spans binary"
 )
-WINDOW = np.dtype([("a", "<u8"), ("b", "<u4"), ("start", "<u4")])
-HELD = np.dtype([("a", "<u8"), ("b", "<u4"), ("row", "<i8"), ("start", "<u4")])
 
 
 def first_pass(documents: DataFrame, found: DataFrame) -> DataFrame:
-    """Finished rows, and open ones with their text, sure starts and windows to compare."""
+    """Finished rows, and open ones with their text, sure starts and spans to compare."""
     per_doc = found.groupBy(F.col("doc").alias("key")).agg(
         F.collect_list("content").alias("contents"), F.collect_list("flag").alias("flags")
     )
@@ -350,12 +347,9 @@ def first_pass(documents: DataFrame, found: DataFrame) -> DataFrame:
                 known: dict[int, int] = {}
                 for content, flag in zip(contents or (), flags or (), strict=True):
                     known[content] = known.get(content, 0) | flag
-                sure, compare = settled(text, known) if known else (np.zeros(0, np.int64), [])
-                if compare:
-                    windows = np.zeros(sum(len(c[0]) for c in compare), WINDOW)
-                    windows["start"], windows["a"] = (np.concatenate([c[i] for c in compare]) for i in (0, 1))
-                    windows["b"] = np.concatenate([c[2] for c in compare]) >> np.uint64(32)
-                    out.append((doc_id, row, len(text), None, None, None, text, sure.astype("<u4").tobytes(), windows.tobytes()))
+                sure, compare = settled(text, known) if known else (np.zeros(0, np.int64), ())
+                if len(compare):
+                    out.append((doc_id, row, len(text), None, None, None, text, sure.astype("<u4").tobytes(), compare.tobytes()))
                 else:
                     out.append((doc_id, row, len(text), *digest(text, spans_of(sure, len(text))), None, None, None))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
@@ -363,9 +357,85 @@ def first_pass(documents: DataFrame, found: DataFrame) -> DataFrame:
     return stored(both.mapInArrow(run, FIRST))
 
 
-def compared(windows: DataFrame, segments: int, flush: int = 500_000) -> DataFrame:
-    """(row, starts) of the windows that occur more than once. Each task's chunk keeps its windows and sends
-    the distinct fingerprints out by segment; only one bit per fingerprint comes back to the chunk."""
+def fingerprints(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64 and 32 bits of the windows at these starts."""
+    roll = Rolling(data)
+    return roll.of(starts, LENGTH), (roll.of(starts, LENGTH, 1) >> np.uint64(32)).astype(np.uint32)
+
+
+def grouped_starts(rows: np.ndarray, starts: np.ndarray) -> pa.RecordBatch:
+    """(row, its starts in bytes)."""
+    order = np.argsort(rows, kind="stable")
+    rows, starts = rows[order], starts[order]
+    heads = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]])) if len(rows) else np.zeros(0, np.int64)
+    parts = [x.astype("<u4").tobytes() for x in np.split(starts, heads[1:])] if len(rows) else []
+    return pa.RecordBatch.from_arrays([pa.array(rows[heads], pa.int64()), pa.array(parts, pa.binary())], ["row", "starts"])
+
+
+DEALT = np.dtype([("row", "<i8"), ("start", "<u4"), ("n", "<u4")])
+
+
+def compared(unsure: DataFrame, segments: int, flush: int = 4 << 20) -> DataFrame:
+    """(row, starts) of windows under a key of few runs: their bytes meet in the key's segment."""
+    shift = np.uint64(64 - (segments.bit_length() - 1))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[list, list]] = {}
+        size = 0
+
+        def close() -> pa.RecordBatch:
+            rows = [(s, np.array(a, DEALT).tobytes(), b"".join(b)) for s, (a, b) in held.items()]
+            kinds = [pa.int32(), pa.binary(), pa.binary()]
+            columns = zip(zip(*rows, strict=True), kinds, strict=True) if rows else [([], k) for k in kinds]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in columns], ["segment", "spans", "data"])
+
+        for batch in batches:
+            for row, text, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                spans = np.frombuffer(data, SPAN)
+                spans = spans[spans["hot"] == 0]
+                for segment, start, n in zip((spans["key"] >> shift).tolist(), spans["start"].tolist(), spans["n"].tolist(), strict=True):
+                    own = held.setdefault(segment, ([], []))
+                    own[0].append((row, start, n))
+                    own[1].append(text[start : start + n + LENGTH - 1])
+                    size += n + LENGTH - 1
+                if size >= flush:
+                    yield close()
+                    held, size = {}, 0
+        yield close()
+
+    def judge(table: pa.Table) -> pa.Table:
+        spans = np.concatenate([np.frombuffer(x, DEALT) for x in table["spans"].to_pylist()])
+        data = np.frombuffer(b"".join(table["data"].to_pylist()), np.uint8)
+        n = spans["n"].astype(np.int64)
+        lengths = n + LENGTH - 1
+        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        a, b = fingerprints(data, within + np.repeat(np.cumsum(lengths) - lengths, n))
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        same = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
+        again = np.zeros(len(a), bool)
+        again[1:] |= same
+        again[:-1] |= same
+        hits = order[again]
+        rows, starts = np.repeat(spans["row"], n)[hits], (np.repeat(spans["start"], n) + within)[hits]
+        return pa.Table.from_batches([grouped_starts(rows, starts)])
+
+    return (
+        unsure.select("row", "text", "spans")
+        .mapInArrow(deal, "segment int, spans binary, data binary")
+        .groupBy("segment")
+        .applyInArrow(judge, "row long, starts binary")
+    )
+
+
+HELD = np.dtype([("a", "<u8"), ("b", "<u4"), ("row", "<i8"), ("start", "<u4")])
+CODE = np.dtype([("a", "<u8"), ("b", "<u4"), ("many", "u1")])
+
+
+def compared_hot(unsure: DataFrame, segments: int, flush: int = 500_000) -> DataFrame:
+    """(row, starts) of windows under a key of many runs. Each task's chunk keeps its windows and deals their
+    distinct fingerprints out; one bit per fingerprint comes back to the chunk."""
+    shift = np.uint64(64 - (segments.bit_length() - 1))
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -378,14 +448,14 @@ def compared(windows: DataFrame, segments: int, flush: int = 500_000) -> DataFra
             return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([rows.tobytes()], pa.binary())], ["chunk", "rows"])
 
         for batch in batches:
-            for row, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = np.frombuffer(data, WINDOW)
-                rows = np.empty(len(own), HELD)
-                rows["row"] = row
-                for name in WINDOW.names:
-                    rows[name] = own[name]
-                held.append(rows)
-                size += len(rows)
+            for row, text, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                spans = np.frombuffer(data, SPAN)
+                for start, n in spans[["start", "n"]][spans["hot"] > 0].tolist():
+                    rows = np.zeros(n, HELD)
+                    rows["row"], rows["start"] = row, np.arange(start, start + n)
+                    rows["a"], rows["b"] = fingerprints(np.frombuffer(text[start : start + n + LENGTH - 1], np.uint8), np.arange(n))
+                    held.append(rows)
+                    size += n
                 if size >= flush:
                     yield close()
                     held, size, number = [], 0, number + 1
@@ -395,15 +465,12 @@ def compared(windows: DataFrame, segments: int, flush: int = 500_000) -> DataFra
     def heads_of(rows: np.ndarray) -> np.ndarray:
         return np.flatnonzero(np.concatenate([[True], (rows["a"][1:] != rows["a"][:-1]) | (rows["b"][1:] != rows["b"][:-1])]))
 
-    shift = np.uint64(64 - (segments.bit_length() - 1))
-    code = np.dtype([("a", "<u8"), ("b", "<u4"), ("many", "u1")])
-
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 rows = np.frombuffer(data, HELD)
                 heads = heads_of(rows)
-                own = np.empty(len(heads), code)
+                own = np.empty(len(heads), CODE)
                 own["a"], own["b"] = rows["a"][heads], rows["b"][heads]
                 own["many"] = np.diff(np.append(heads, len(rows))) > 1
                 cuts = np.searchsorted(own["a"] >> shift, np.arange(segments + 1, dtype=np.uint64))
@@ -412,7 +479,7 @@ def compared(windows: DataFrame, segments: int, flush: int = 500_000) -> DataFra
                 yield pa.RecordBatch.from_arrays(columns, ["segment", "chunk", "codes"])
 
     def judge(table: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(x, code) for x in table["codes"].to_pylist()]
+        parts = [np.frombuffer(x, CODE) for x in table["codes"].to_pylist()]
         rows = np.concatenate(parts)
         order = np.lexsort((rows["b"], rows["a"]))
         heads = heads_of(rows[order])
@@ -427,15 +494,11 @@ def compared(windows: DataFrame, segments: int, flush: int = 500_000) -> DataFra
         for batch in batches:
             for data, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 rows = np.frombuffer(data, HELD)
-                heads = heads_of(rows)
                 bits = np.frombuffer(b"".join(p["bits"] for p in sorted(parts, key=lambda p: p["segment"])), bool)
-                rows = rows[np.repeat(bits, np.diff(np.append(heads, len(rows))))]
-                rows = rows[np.argsort(rows["row"], kind="stable")]
-                heads = np.flatnonzero(np.concatenate([[True], rows["row"][1:] != rows["row"][:-1]])) if len(rows) else []
-                starts = [x.tobytes() for x in np.split(rows["start"], heads[1:])] if len(rows) else []
-                yield pa.RecordBatch.from_arrays([pa.array(rows["row"][heads] if len(rows) else [], pa.int64()), pa.array(starts, pa.binary())], ["row", "starts"])
+                rows = rows[np.repeat(bits, np.diff(np.append(heads_of(rows), len(rows))))]
+                yield grouped_starts(rows["row"], rows["start"])
 
-    held = stored(windows.mapInArrow(chunks, "chunk long, rows binary"))
+    held = stored(unsure.select("row", "text", "spans").mapInArrow(chunks, "chunk long, rows binary"))
     bits = (
         held.mapInArrow(deal, "segment int, chunk long, codes binary")
         .groupBy("segment")
@@ -451,8 +514,9 @@ def removed_repeats(documents: DataFrame, batches: int = 4, segment_bytes: int =
     size = documents.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     segments = 1 << max(3, (int(size) // segment_bytes).bit_length())
     first = first_pass(documents, matches(documents, batches, segments))
-    unsure = first.where("windows is not null")
-    again = compared(unsure.select("row", "windows"), segments).groupBy("row").agg(F.collect_list("starts").alias("again"))
+    unsure = first.where("spans is not null")
+    starts = compared(unsure, segments).union(compared_hot(unsure, segments))
+    again = starts.groupBy("row").agg(F.collect_list("starts").alias("again"))
     both = unsure.select("doc_id", "row", "n_bytes", "text", "sure").join(again, "row", "left").drop("row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -466,5 +530,5 @@ def removed_repeats(documents: DataFrame, batches: int = 4, segment_bytes: int =
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    rest = first.where("windows is null").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    rest = first.where("spans is null").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     return rest.union(both.mapInArrow(run, schema))
