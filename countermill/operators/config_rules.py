@@ -101,9 +101,19 @@ FLEET_RANGES = [
     ),
 ]
 
-# Dotted quads with numbers up to 255, or an IPv6 form; short IPv4 forms are not taken.
-IPV4 = r"^((25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(25[0-5]|2[0-4]\d|1?\d?\d)$"
-IPV6 = r"^([0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}$|^(?=.*::)(?!.*::.*::)[0-9A-Fa-f:]{2,39}$"
+# Dotted quads with numbers up to 255, or an IPv6 form; short IPv4 forms are not taken. An IPv6 address has
+# eight groups, or at most seven around one `::`; a dotted quad may stand for the last two.
+_QUAD = r"((25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(25[0-5]|2[0-4]\d|1?\d?\d)"
+_GROUP = "[0-9A-Fa-f]{1,4}"
+IPV4 = rf"^{_QUAD}$"
+IPV6 = "|".join(
+    (
+        rf"^({_GROUP}:){{7}}{_GROUP}$",
+        rf"^({_GROUP}:){{6}}{_QUAD}$",
+        rf"^(?=(:*{_GROUP}){{0,7}}:*$)(({_GROUP}:)*{_GROUP})?::(({_GROUP}:)*{_GROUP})?$",
+        rf"^(?=(:*{_GROUP}){{0,5}}:+{_QUAD}$)(({_GROUP}:)*{_GROUP})?::({_GROUP}:)*{_QUAD}$",
+    )
+)
 
 
 def _finding(stage: str, rule: str, broken: Column, message: Column | str, *members: str) -> Column:
@@ -150,6 +160,18 @@ def duplicate_keys(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
 
 
+def _owner(devices: DataFrame, channels: DataFrame) -> list[str]:
+    """What names the device of a channel: the same id may stand in two fleets."""
+    return [c for c in ("fleet_id", "device_id") if c in devices.columns and c in channels.columns]
+
+
+def _with(rows: DataFrame, more: DataFrame) -> DataFrame:
+    """Left join on the columns both have; a missing fleet is a fleet like any other."""
+    keys = [c for c in rows.columns if c in more.columns]
+    same = [rows[c].eqNullSafe(more[c]) for c in keys]
+    return rows.join(more, same, "left").select(*[rows[c] for c in rows.columns], *[more[c] for c in more.columns if c not in keys])
+
+
 def validate_channels(channels: DataFrame) -> DataFrame:
     blank = is_blank(F.col("name"))
     findings = [
@@ -198,8 +220,7 @@ def validate_devices(devices: DataFrame, channels: DataFrame) -> DataFrame:
     """Findings of devices, of their channels (prefixed) and of duplicate channel numbers."""
     id_blank, ip = is_blank(F.col("device_id")), F.col("ip_address")
     ip_valid = F.coalesce(ip.rlike(IPV4) | ip.rlike(IPV6), F.lit(False))
-    listed = channels.select("device_id").distinct().withColumn("_listed", F.lit(True))
-    checked = devices.join(listed, "device_id", "left")
+    checked = _with(devices, channels.select(*_owner(devices, channels)).distinct().withColumn("_listed", F.lit(True)))
     findings = [
         *_ranges(DEVICE_RANGES),
         _finding("attribute", "device_id_required", id_blank, "DeviceId is required", "DeviceId"),
@@ -237,13 +258,14 @@ def validate_devices(devices: DataFrame, channels: DataFrame) -> DataFrame:
 
 def poll_load(fleets: DataFrame, devices: DataFrame, channels: DataFrame) -> DataFrame:
     """Per fleet: devices, enabled channels and estimated cycle time at 50 ms per channel."""
-    per_device = enabled_channels(channels).groupBy("device_id").agg(F.count(F.lit(1)).alias("_n"))
+    owner = _owner(devices, channels)
+    per_device = enabled_channels(channels).groupBy(*owner).agg(F.count(F.lit(1)).alias("_n"))
     per_fleet = (
-        devices.join(per_device, "device_id", "left")
+        _with(devices, per_device)
         .groupBy("fleet_id")
         .agg(F.count(F.lit(1)).alias("devices"), F.sum(F.coalesce("_n", F.lit(0))).alias("enabled_channels"))
     )
-    counted = fleets.join(per_fleet, "fleet_id", "left")
+    counted = _with(fleets, per_fleet)
     zero = F.lit(0).cast("bigint")
     enabled = F.coalesce("enabled_channels", zero)
     return counted.select(
@@ -335,15 +357,15 @@ def config_gate(devices: DataFrame, violations: DataFrame) -> DataFrame:
     if not keys:
         return devices.join(violations.select("device_id").distinct(), "device_id", "left_anti")
     owners = devices.select("fleet_id", "device_id").distinct()
-    fleets = (
-        violations.filter(F.col("fleet_id").isNotNull())
+    unnamed = violations.filter(F.col("fleet_id").isNull())
+    blocked = (
+        violations.filter(F.col("fleet_id").isNotNull() | F.col("device_id").isNull())
         .select("fleet_id")
-        .union(
-            owners.join(violations.filter(F.col("fleet_id").isNull()), "device_id", "left_semi").select("fleet_id")
-        )
+        .union(owners.join(unnamed, "device_id", "left_semi").select("fleet_id"))
         .distinct()
+        .withColumnRenamed("fleet_id", "_blocked")
     )
-    return devices.join(fleets, "fleet_id", "left_anti").select(*devices.columns)
+    return devices.join(blocked, F.col("fleet_id").eqNullSafe(F.col("_blocked")), "left_anti").select(*devices.columns)
 
 
 def require_valid(violations: DataFrame) -> None:

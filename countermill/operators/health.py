@@ -191,7 +191,7 @@ def health_epochs(
 
     Every change but the initial start and the final stop emits a row.
     """
-    epochs = assign_epochs(events, present_at_start)
+    epochs = assign_epochs(events, present_at_start, slice_us)
     keys = ["device_id", "epoch_us", "epoch_seq"]
     # A device present from the beginning has no first event; its period is numbered by the start.
     numbered = epochs.withColumn("epoch_us", F.coalesce("epoch_us", F.lit(start_us or 0).cast("bigint"))).withColumn(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from countermill.functions.quality import near_overflow, quality_name
 from countermill.functions.registers import block_counter, decode_failure, decode_registers
-from countermill.operators.filters import drop_unread, successful_polls
+from countermill.operators.filters import drop_unread, enabled_channels, successful_polls
 from countermill.operators.hooks import Rules
 from countermill.operators.joins import SERIES, join_channel_config
 from countermill.operators.rates import counter_rate, counter_rate_open
@@ -76,8 +76,8 @@ def grade_readings(rated: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
 
 def tag_readings(readings: DataFrame, channels: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """Attach the tag map of the channel; error readings carry none."""
-    tagged = channels.select(*SERIES, rules.tagger(F.col).alias("_tags"))
+    """Attach the tag map of the enabled channel; error readings carry none."""
+    tagged = enabled_channels(channels).select(*SERIES, rules.tagger(F.col).alias("_tags"))
     empty = F.create_map().cast("map<string,string>")
     joined = readings.join(tagged, SERIES, "left")
     return joined.withColumn("tags", F.when(F.col("error_message").isNull(), F.col("_tags")).otherwise(empty)).drop(

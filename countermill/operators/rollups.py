@@ -130,12 +130,15 @@ def quality_counts(readings: DataFrame) -> DataFrame:
     return readings.groupBy("device_id", "channel", "quality").agg(F.count(F.lit(1)).alias("readings"))
 
 
-def cycle_overrun(polls: DataFrame, interval_ms: int) -> DataFrame:
+def cycle_overrun(polls: DataFrame, interval_ms: int, cycle: Column | None = None) -> DataFrame:
     """Poll cycles that take longer than the interval.
 
     Channels of a device are read in turn, devices side by side: a cycle lasts as long as its
-    slowest device.
+    slowest device. `cycle` numbers the round of a poll, such as `slice_start(us, interval)` where every
+    device takes its own clock; without it polls of one time are one round. It becomes `us`.
     """
+    if cycle is not None:
+        polls = polls.withColumn("us", cycle)
     per_device = polls.groupBy("us", "device_id").agg(F.sum("acquisition_us").alias("device_us"))
     cycles = per_device.groupBy("us").agg(F.max("device_us").alias("cycle_us"), F.count(F.lit(1)).alias("devices"))
     return cycles.filter(F.col("cycle_us") > F.lit(interval_ms * 1000))

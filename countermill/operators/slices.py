@@ -84,7 +84,7 @@ def with_oldest(
         copies = gated.withColumn(
             "_slice", F.explode(F.when(reaches_next, F.array(home, following)).otherwise(F.array(home)))
         )
-        asks = F.col("_slice") == home
+        asks = F.col("_slice").eqNullSafe(home)  # a row without a time still asks, and gets no answer
         spread = copies.select(*slim(asks), "_gate", "_slice", asks.alias("_asks")).repartition(*keys, "_slice")
         newest_first = (
             Window.partitionBy(*keys, "_slice")
@@ -115,7 +115,9 @@ def fill_forward(
     """
     at = F.struct(*order)
     cut = df.withColumn("_slice", slice_start(F.col(order[0]), slice_us))
-    cut = cut.select("*", *[c.alias(f"_v_{n}") for n, c in columns.items()])
+    # A row without a time stays, and passes nothing on.
+    timed = F.col(order[0]).isNotNull()
+    cut = cut.select("*", *[F.when(timed, c).alias(f"_v_{n}") for n, c in columns.items()])
 
     ends = cut.groupBy(*keys, "_slice").agg(
         *[
@@ -139,7 +141,7 @@ def fill_forward(
             for n in columns
         ],
     )
-    joined = inside.join(entering, [*keys, "_slice"])
+    joined = inside.join(entering, [*keys, "_slice"], "left")
     return joined.select(
         *[c for c in df.columns if c not in columns],
         *[F.coalesce(F.col(f"_s_{n}"), F.col(f"_in_{n}"))["v"].alias(n) for n in columns],

@@ -23,6 +23,7 @@ CHANNEL_DEFAULTS = {
     "decimal_places": 0,
 }
 
+# The same for a device.
 DEVICE_DEFAULTS = {
     "device_id": "",
     "ip_address": "",
@@ -41,6 +42,7 @@ DEVICE_DEFAULTS = {
     "overflow_threshold": OVERFLOW_THRESHOLD,
 }
 
+# The same for a fleet.
 FLEET_DEFAULTS = {
     "poll_interval_ms": 5000,
     "health_check_interval_ms": 30000,
@@ -144,10 +146,33 @@ def read_config_documents(
     """Configuration documents, one per file or, with `lines`, one per line.
 
     `root` names the section that holds the settings; a document without it is taken as the
-    settings themselves. A document is one row, so keep large fleets as lines of few devices.
+    settings themselves. A document is one row, so keep large fleets as lines of few devices. One that
+    names no fleet is a fleet of its own, named by its file and, with `lines`, the digest of its line.
     """
-    text = spark.read.text(path, wholetext=not lines)
-    return parse_config_documents(text, "value", root)
+    return parse_config_documents(_texts(spark, path, lines), "value", root).drop("_document")
+
+
+def _texts(spark: SparkSession, path: str, lines: bool) -> DataFrame:
+    file = F.col("_metadata.file_path")
+    name = F.concat(file, F.lit("#"), F.md5("value")) if lines else file
+    return spark.read.text(path, wholetext=not lines).withColumn("_document", name)
+
+
+def malformed_documents(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """A finding for each document that is no JSON, in the form of the rules' findings, under the fleet
+    name that the document stands for. Add it to the violations, so that the gate sees it."""
+    broken = _texts(spark, path, lines).filter(F.try_parse_json("value").isNull() & (F.trim("value") != ""))
+    none = F.lit(None)
+    return broken.select(
+        F.lit("fleet").alias("level"),
+        F.lit("document").alias("stage"),
+        F.col("_document").alias("fleet_id"),
+        none.cast("string").alias("device_id"),
+        none.cast("int").alias("channel"),
+        F.lit("malformed_document").alias("rule"),
+        F.lit("The configuration document is not valid JSON").alias("message"),
+        F.array().cast("array<string>").alias("members"),
+    )
 
 
 def parse_config_documents(documents: DataFrame, column: str, root: str | None = "AdamLogger") -> DataFrame:
@@ -155,7 +180,12 @@ def parse_config_documents(documents: DataFrame, column: str, root: str | None =
     body = F.col(column)
     if root:
         body = F.coalesce(F.get_json_object(body, f"$.{root}"), body)
-    return documents.withColumn("config", F.from_json(body, FLEET_CONFIG_JSON)).drop(column)
+    config = F.from_json(body, FLEET_CONFIG_JSON)
+    if "_document" in documents.columns:
+        parsed = documents.withColumn("config", config)
+        fleet = F.coalesce("config.FleetId", "_document")
+        return parsed.withColumn("config", F.col("config").withField("FleetId", fleet)).drop(column)
+    return documents.withColumn("config", config).drop(column)
 
 
 def fleets_of(documents: DataFrame) -> DataFrame:

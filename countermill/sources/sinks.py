@@ -9,11 +9,17 @@ from countermill.operators.filters import good_readings
 from countermill.vocab import AUDIT_SOURCE, POINT_MEASUREMENT, TOPIC_PREFIX
 
 
+def utc_time(us: Column) -> Column:
+    """The second of a time in UTC, as a time without zone: the same in a session of any zone."""
+    seconds = ((us - F.pmod(us, F.lit(1000000))) / 1000000).cast("decimal(18,6)")
+    start = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return start + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
+
+
 def iso_time(us: Column, trim: bool = False) -> Column:
     """ISO text in UTC; the fraction appears only when there is one, with or without end zeros."""
-    ts = F.timestamp_micros(us)
-    whole = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
-    digits = F.date_format(ts, ".SSSSSS")
+    whole = F.translate(utc_time(us).cast("string"), " ", "T")
+    digits = F.concat(F.lit("."), F.lpad(F.pmod(us, F.lit(1000000)).cast("string"), 6, "0"))
     fraction = F.regexp_replace(digits, "0+$", "") if trim else digits
     return F.concat(whole, F.when(us % 1000000 != 0, fraction).otherwise(F.lit("")), F.lit("+00:00"))
 
@@ -44,7 +50,7 @@ def write_points(points: DataFrame, path: str, mode: str = "append", partition_b
     where there are few of them.
     """
     dated = points.withColumns(
-        {"device": F.col("tags.device"), "date": F.to_date(F.timestamp_micros("us"))}
+        {"device": F.col("tags.device"), "date": utc_time(F.col("us")).cast("date")}
     ).repartitionByRange("date", "device", "us")
     dated.sortWithinPartitions("date", "device", "us").write.mode(mode).partitionBy(*partition_by).parquet(path)
 

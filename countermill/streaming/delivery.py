@@ -13,6 +13,8 @@ from countermill.streaming.rates import stream_rate
 from countermill.vocab import RATE_WINDOW_SECONDS
 
 Writer = Callable[[DataFrame, int], None]
+#: Take what has arrived and end. {"processingTime": "5 seconds"} keeps a stream running.
+ONCE = {"availableNow": True}
 
 
 def stream_process(
@@ -28,7 +30,9 @@ def stream_process(
     return tag_readings(graded, channels, rules) if with_tags else graded
 
 
-def fan_out(rows: DataFrame, writers: dict[str, Writer], checkpoint: str, mode: str = "append") -> StreamingQuery:
+def fan_out(
+    rows: DataFrame, writers: dict[str, Writer], checkpoint: str, mode: str = "append", trigger: dict = ONCE
+) -> StreamingQuery:
     """Several subscribers on one stream: each micro-batch is computed once and given to all.
 
     A batch can come again after a failure, so writers get its number and must be repeatable;
@@ -49,7 +53,7 @@ def fan_out(rows: DataFrame, writers: dict[str, Writer], checkpoint: str, mode:
     return (
         rows.writeStream.outputMode(mode)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**trigger)
         .foreachBatch(deliver)
         .start()
     )
@@ -73,8 +77,10 @@ def whole_writer(path: str) -> Writer:
     return write
 
 
-def write_stream(rows: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
-    """Everything that has arrived so far, as files; then the query ends.
+def write_stream(
+    rows: DataFrame, path: str, checkpoint: str, mode: str = "append", trigger: dict = ONCE
+) -> StreamingQuery:
+    """A stream as files: by default everything that has arrived so far, and then the query ends.
 
     Append uses the file sink. In update mode each micro-batch keeps a folder of its own, and a
     complete result replaces the one before.
@@ -84,11 +90,11 @@ def write_stream(rows: DataFrame, path: str, checkpoint: str, mode: str = "appen
             rows.writeStream.outputMode("append")
             .format("parquet")
             .option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True)
+            .trigger(**trigger)
             .start(path)
         )
     writer = whole_writer(path) if mode == "complete" else batch_writer(path)
-    return fan_out(rows, {"files": writer}, checkpoint, mode)
+    return fan_out(rows, {"files": writer}, checkpoint, mode, trigger)
 
 
 def replay(rows: DataFrame, folder: str, mode: str = "append") -> DataFrame:
