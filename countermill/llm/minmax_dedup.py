@@ -5,11 +5,12 @@ maximum, so 60 permutations give 120 values; bands of five of them are the bucke
 similarity of 0.85 shares no band with a probability below 1e-6.
 
 1. Documents with the same shingle set are one node, whose id is its smallest doc_id.
-2. In each bucket the smallest node is linked to every other: a star, never all pairs. The pairs are
-   confirmed on full shingle sets.
-3. Stars miss a link if neither node is its bucket's centre. So buckets whose nodes are still in
-   several components get a second star around another centre, and then the pairs that cross
-   components, each once over all buckets; pairs inside a component need no look.
+2. A bucket's smallest node is its centre. Each node is paired with the smallest centre of its buckets, one
+   pair per node, never all pairs, and the pair is confirmed on full shingle sets.
+3. That settles groups around a centre. Where a bucket's nodes are still in several components, nodes outside
+   the bucket's main component are compared with the others of the bucket, in blocks of BLOCK nodes: a block's
+   intersections are a product of matrices, and a block returns only links that join components of its own,
+   so what leaves it grows with its nodes and not with its pairs. Pairs inside a component need no look.
 4. Components of the confirmed links.
 
 Defined results: null and empty texts, and texts without words, have an empty set, n_shingles 0,
@@ -90,18 +91,20 @@ def signed_sets(documents: DataFrame) -> DataFrame:
     )
 
 
-def confirmed(pairs: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v) whose full sets have 100 * intersection >= percent * union. Only texts in a pair are read."""
-    pairs = stored(pairs.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-    wanted = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
+def full_sets(documents: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, codes): the shingle sets of these documents only."""
     hashes = WordHashes()
 
     def step(batch: pa.RecordBatch) -> dict:
-        sets = [shingle_set(text, hashes).view(np.int64) for text in batch.column(1).to_pylist()]
+        sets = [shingle_set(text, hashes) for text in batch.column(1).to_pylist()]
         return {"node": batch.column(0), "codes": pa.array([s.tobytes() for s in sets], pa.binary())}
 
-    texts = documents.select("doc_id", text_bytes().alias("text")).join(wanted, "doc_id", "left_semi")
-    sets = stored(map_batches(texts, step, "node long, codes binary").distinct())
+    texts = documents.select("doc_id", text_bytes().alias("text")).join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
+    return stored(map_batches(texts, step, "node long, codes binary").distinct())
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) whose full sets have 100 * intersection >= percent * union."""
     both = (
         pairs.join(sets.select(F.col("node").alias("u"), F.col("codes").alias("a")), "u")
         .join(sets.select(F.col("node").alias("v"), F.col("codes").alias("b")), "v")
@@ -112,7 +115,7 @@ def confirmed(pairs: DataFrame, documents: DataFrame, percent: int) -> DataFrame
         for batch in batches:
             keep = []
             for a, b in zip(batch.column(2), batch.column(3), strict=True):
-                a, b = np.frombuffer(a.as_buffer(), np.int64), np.frombuffer(b.as_buffer(), np.int64)
+                a, b = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
                 short, long = sorted((len(a), len(b)))
                 common = len(np.intersect1d(a, b, assume_unique=True)) if 100 * short >= percent * long else 0
                 keep.append(short > 0 and 100 * common >= percent * (short + long - common))
@@ -122,14 +125,88 @@ def confirmed(pairs: DataFrame, documents: DataFrame, percent: int) -> DataFrame
     return stored(both.mapInArrow(compare, "u long, v long").distinct())
 
 
-def stars(buckets: DataFrame, seed: int | None) -> DataFrame:
-    """Each bucket's centre with its other nodes: the smallest node, or the first in a seeded order."""
-    if seed is None:
-        centre = buckets.groupBy("bucket").agg(F.min("node").alias("u"), F.max("node").alias("top")).where("u <> top")
-    else:
-        order = F.struct(F.xxhash64(F.lit(seed), "node").alias("h"), "node")
-        centre = buckets.groupBy("bucket").agg(F.min(order)["node"].alias("u"))
-    return buckets.join(centre.select("bucket", "u"), "bucket").where("node <> u").select("u", F.col("node").alias("v")).distinct()
+#: Nodes of one side of a block, and shingles that a product of matrices takes at once.
+BLOCK = 512
+WIDTH = 8192
+
+
+def intersections(sets: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets at these places with all sets. Shingles that only one set
+    has are left out; the others are taken a few thousand at a time, which bounds the matrices."""
+    codes = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, n = np.unique(codes, return_inverse=True, return_counts=True)
+    shared = n[column] > 1
+    column, owner = (np.cumsum(n > 1) - 1)[column[shared]], owner[shared]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    out = np.zeros((len(rows), len(sets)), np.float32)
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, WIDTH):
+        a, b = np.searchsorted(column, [start, start + WIDTH])
+        has = np.zeros((len(sets), WIDTH), np.float32)
+        has[owner[a:b], column[a:b] - start] = 1
+        out += has[rows] @ has.T
+    return out.astype(np.int64)
+
+
+def joining_links(nodes: np.ndarray, parts: np.ndarray, sets: list[np.ndarray], outside: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links of nodes outside the main component with any others, as many as join different components."""
+    rows = np.flatnonzero(outside)
+    sizes = np.array([len(s) for s in sets])
+    common = intersections(sets, rows)
+    linked = (100 * common >= percent * (sizes[rows][:, None] + sizes - common)) & (parts[rows][:, None] != parts)
+    head: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := head.get(x, x)) != x:
+            head[x] = x = head.get(up, up)
+        return x
+
+    out = []
+    for i, j in zip(*(x.tolist() for x in np.nonzero(linked)), strict=True):
+        a, b = find(int(parts[rows[i]])), find(int(parts[j]))
+        if a != b:
+            head[a] = b
+            out.append((int(nodes[rows[i]]), int(nodes[j])))
+    return out
+
+
+def crossing_links(buckets: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between nodes that share a bucket and are in different components."""
+    named = buckets.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+    counts = named.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    split = (
+        counts.groupBy("bucket")
+        .agg(F.count("*").alias("parts"), F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("main"))
+        .where("parts > 1")
+        .select(
+            "bucket",
+            F.col("main.component").alias("main"),
+            F.ceil(F.col("main.n") / BLOCK).alias("inside"),
+            F.ceil((F.col("all") - F.col("main.n")) / BLOCK).alias("apart"),
+        )
+    )
+    outside = F.col("component") != F.col("main")
+    # Blocks of the main component have numbers below those of the rest; a pair of blocks has one of the rest.
+    block = F.when(outside, F.pmod(F.xxhash64("node"), F.col("apart")) + F.col("inside")).otherwise(F.pmod(F.xxhash64("node"), F.col("inside")))
+    others = F.when(outside, F.sequence(F.lit(0).cast("long"), F.col("inside") + F.col("apart") - 1)).otherwise(
+        F.sequence(F.col("inside"), F.col("inside") + F.col("apart") - 1)
+    )
+    paired = (
+        named.join(split, "bucket")
+        .select("bucket", "node", "component", outside.alias("outside"), block.alias("block"), F.explode(others).alias("other"))
+        .select("bucket", "node", "component", "outside", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    )
+
+    def link(table: pa.Table) -> pa.Table:
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["codes"]]
+        nodes, parts = table["node"].to_numpy(), table["component"].to_numpy()
+        found = joining_links(nodes, parts, sets, table["outside"].to_numpy().astype(bool), percent)
+        return pa.table([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], names=["u", "v"])
+
+    return stored(
+        paired.join(sets, "node").groupBy("bucket", "low", "high").applyInArrow(link, "u long, v long").where("u <> v").distinct()
+    )
 
 
 def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
@@ -144,16 +221,13 @@ def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
     shared = every.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
     buckets = stored(every.join(shared.select("bucket"), "bucket").select("bucket", "node"))
 
-    links = confirmed(stars(buckets, None), documents, percent)
+    sets = full_sets(documents, buckets.select("node").distinct())
+    centres = buckets.join(shared.select("bucket", F.col("low").alias("u")), "bucket").where("node <> u")
+    links = confirmed(centres.groupBy(F.col("node").alias("v")).agg(F.min("u").alias("u")), sets, percent)
     labels = components(links.union(alike))
-    for seed in (1, None):
-        open_buckets = _open(buckets, labels)
-        if open_buckets.isEmpty():
-            break
-        more = stars(open_buckets.select("bucket", "node"), seed) if seed else _crossing(open_buckets)
-        found = confirmed(more, documents, percent)
-        links = links.union(found)
-        labels = components(links.union(alike))
+    more = crossing_links(buckets, labels, sets, percent)
+    if not more.isEmpty():
+        labels = components(links.union(more).union(alike))
     found = labels.withColumnRenamed("node", "doc_id")
     component = F.coalesce("component", "doc_id")
     return (
@@ -163,23 +237,6 @@ def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
     )
 
 
-def _open(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """The buckets whose nodes are in several components, with each node's component."""
-    named = buckets.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-    split = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    return stored(named.join(split.select("bucket"), "bucket"))
-
-
-def _crossing(rows: DataFrame) -> DataFrame:
-    """Pairs of nodes that share a bucket and are in different components."""
-    a, b = rows.alias("a"), rows.alias("b")
-    return (
-        a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.component") < F.col("b.component")))
-        .select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
-        .distinct()
-    )
-
-
 def without_near_duplicates(documents: DataFrame, percent: int = 80) -> DataFrame:
     """The documents that stay: one of each component, and of rows with one doc_id the one with the
     smallest text. Rows without an id all stay."""
