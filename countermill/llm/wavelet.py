@@ -154,7 +154,7 @@ class Words(dict):
 
     def learn(self, words: list[str]) -> None:
         """Encodes the words not yet known, all in one call."""
-        new = [w for w in set(words).difference(self) if w and not (w[0].isspace() or w[-1].isspace())]
+        new = [w for w in set(words) if w and w not in self and not (w[0].isspace() or w[-1].isspace())]
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
             for word, code in zip(
