@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from countermill.llm import (
     bloom_lm,
+    conversation_repair,
+    conversation_sql,
     decontaminate,
+    fill_middle,
     html_crf,
     minmax_dedup,
     mixing,
@@ -65,6 +68,14 @@ def op10_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.token_files(read_documents(spark, sf_dir))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repaired(table(spark, sf_dir, "conversations"))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(read_documents(spark, sf_dir))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -78,7 +89,14 @@ QUERIES = {
         op8_minmax_dedup,
         op9_rule_ledger,
         op10_wavelet_tokens,
+        op11_conversation_repair,
+        op13_fill_middle,
     )
 }
 
-SQL = {"op6_water_filling": mixing.SQL, "op9_rule_ledger": rule_ledger.SQL}
+SQL = {
+    "op6_water_filling": mixing.SQL,
+    "op9_rule_ledger": rule_ledger.SQL,
+    "op11_conversation_repair": conversation_sql.SQL,
+    "op13_fill_middle": fill_middle.SQL,
+}
