@@ -14,6 +14,7 @@ from countermill.llm import (
     minmax_dedup,
     mixing,
     rule_ledger,
+    skip_join,
     suffix_levels,
     toxicity,
     wavelet,
@@ -72,6 +73,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repaired(table(spark, sf_dir, "conversations"))
 
 
+def op12_skip_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return skip_join.joined(read_documents(spark, sf_dir))
+
+
 def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.digests(read_documents(spark, sf_dir))
 
@@ -90,6 +95,7 @@ QUERIES = {
         op9_rule_ledger,
         op10_wavelet_tokens,
         op11_conversation_repair,
+        op12_skip_join,
         op13_fill_middle,
     )
 }
