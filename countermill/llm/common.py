@@ -108,6 +108,102 @@ def shingle_codes(codes: np.ndarray, size: int = 5) -> np.ndarray:
     return joined(*(codes[i : n - size + 1 + i] for i in range(size)))
 
 
+#: Bytes of text that are hashed at once. A longer word is hashed on its own.
+HASH_BYTES = 1 << 19
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
+_IN_WORD = np.ones(256, bool)
+_IN_WORD[[0x20, *range(0x09, 0x0E)]] = False
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+class WordCodes:
+    """64-bit codes of the words of many texts at once, by default with ASCII letters lower-cased.
+
+    A word's code is a polynomial over random values of its bytes. With running sums over a stretch of text
+    and powers of an odd base, which has an inverse modulo 2^64, it is a difference of two sums, so no word
+    is cut out or looked up.
+    """
+
+    def __init__(self, lower: bool = True):
+        base = int(MIX[0])
+        self.letters = _LOWER if lower else np.arange(256, dtype=np.uint8)
+        self.value = mixed(np.arange(1, 257, dtype=np.uint64) * MIX[1])[self.letters]
+        self.power, self.inverse = (_powers(b, HASH_BYTES + 1) for b in (base, pow(base, -1, 1 << 64)))
+
+    def spans(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The bytes of a binary column without nulls, the start and stop of every word in them, and the place
+        of each text's first word among the words."""
+        wide = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+        _, offsets, data = column.buffers()
+        ends = np.frombuffer(offsets, wide)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+        text = np.frombuffer(data or b"", np.uint8)[ends[0] : ends[-1]]
+        ends = ends - ends[0]
+        in_word = _IN_WORD[text]
+        # A word starts where the byte before is white space or belongs to another text.
+        first = in_word.copy()
+        first[1:] &= ~in_word[:-1]
+        borders = ends[:-1][ends[:-1] < len(text)]
+        first[borders] = in_word[borders]
+        starts = np.flatnonzero(first)
+        after = np.flatnonzero(in_word[:-1] & (~in_word[1:] | first[1:])) + 1
+        stops = np.append(after, len(text)) if len(text) and in_word[-1] else after
+        return text, starts, stops, np.searchsorted(starts, ends)
+
+    def codes(self, text: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        """Codes of these parts of a text, which follow one another."""
+        codes = np.empty(len(starts), np.uint64)
+        at = 0
+        while at < len(starts):
+            # Whole words of one stretch of text.
+            to = int(np.searchsorted(stops, starts[at] + HASH_BYTES, "right"))
+            if to == at:
+                codes[at] = xxhash.xxh3_64_intdigest(self.letters[text[starts[at] : stops[at]]].tobytes())
+                at += 1
+                continue
+            low, high = starts[at], stops[to - 1]
+            sums = np.zeros(high - low + 1, np.uint64)
+            np.cumsum(self.value[text[low:high]] * self.power[: high - low], out=sums[1:])
+            begin, end = starts[at:to] - low, stops[at:to] - low
+            codes[at:to] = (sums[end] - sums[begin]) * self.inverse[begin] + (end - begin).astype(np.uint64) * MIX[2]
+            at = to
+        return mixed(codes)
+
+    def of(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of all words of a binary column without nulls, and the place of each text's first word."""
+        text, starts, stops, places = self.spans(column)
+        return self.codes(text, starts, stops), places
+
+    def shingle_sets(self, column: pa.Array, size: int = 5) -> list[np.ndarray]:
+        """Per text the distinct codes of its windows of `size` words, in order; a shorter text is one window."""
+        codes, places = self.of(column)
+        windows = joined(*(codes[i : len(codes) - size + 1 + i] for i in range(size))) if len(codes) >= size else codes[:0]
+        sets = []
+        for start, stop in zip(places[:-1].tolist(), places[1:].tolist(), strict=True):
+            found = windows[start : stop - size + 1].copy() if stop - start >= size else shingle_codes(codes[start:stop], size)
+            found.sort()
+            sets.append(found[np.append(True, found[1:] != found[:-1])] if len(found) else found)
+        return sets
+
+
+def in_stretches(batches: Iterator[pa.RecordBatch], place: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in slices that hold at most so many bytes in a text column, or one row."""
+    for batch in batches:
+        column = batch.column(place)
+        wide = np.int64 if pa.types.is_large_binary(column.type) or pa.types.is_large_string(column.type) else np.int32
+        ends = np.frombuffer(column.buffers()[1], wide)[column.offset : column.offset + len(column) + 1] if len(column) else []
+        row = 0
+        while row < batch.num_rows:
+            rows = max(1, int(np.searchsorted(ends[row:], int(ends[row]) + most, "right")) - 1)
+            yield batch.slice(row, rows)
+            row += rows
+
+
 def seeded_order(seed: int, column: str = "doc_id") -> Column:
     """A fixed pseudo-random order of documents."""
     return F.xxhash64(F.lit(seed), F.col(column))

@@ -104,5 +104,6 @@ SQL = {
     "op6_water_filling": mixing.SQL,
     "op9_rule_ledger": rule_ledger.SQL,
     "op11_conversation_repair": conversation_sql.SQL,
+    "op12_skip_join": skip_join.SQL,
     "op13_fill_middle": fill_middle.SQL,
 }

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from countermill.llm.common import WordHashes, mixed, shingle_codes, stored, text_bytes
+from countermill.llm.common import WordCodes, in_stretches, mixed, stored, text_bytes
 from countermill.llm.components import components
 
 SIZE = 5
@@ -53,11 +53,6 @@ BLOCK = 64
 ALIKE = 60
 
 
-def shingle_set(text: bytes, hashes: WordHashes) -> np.ndarray:
-    """Distinct shingles of a text in order of their codes."""
-    return np.unique(shingle_codes(hashes.of(text.lower().split()), SIZE))
-
-
 def digest_of(codes: np.ndarray) -> bytes | None:
     return hashlib.blake2b(codes.tobytes(), digest_size=16).digest() if len(codes) else None
 
@@ -94,12 +89,12 @@ ROWS = "doc_id long, n_shingles long, digest binary, bits binary, piece int, cou
 
 def signed_rows(documents: DataFrame) -> DataFrame:
     """One row per document row, and rows with pieces of the table of counts (piece not null)."""
-    hashes = WordHashes()
+    words = WordCodes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SLOTS, np.int64)
-        for batch in batches:
-            sets = [shingle_set(text, hashes) for text in batch.column(1).to_pylist()]
+        for batch in in_stretches(batches, 1):
+            sets = words.shingle_sets(batch.column(1), SIZE)
             if sets:
                 slots = np.concatenate(sets) >> np.uint64(64 - SLOT_BITS)
                 counts += np.bincount(slots.astype(np.int64), minlength=SLOTS)
@@ -163,14 +158,13 @@ def in_order(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 def listed_prefixes(documents: DataFrame, counts: np.ndarray, percent: int, part_entries: int = LIST) -> DataFrame:
     """doc_id, digest, n and the first codes of each set, with the number of parts of each code's list."""
-    hashes = WordHashes()
+    words = WordCodes()
     bound = max(part_entries, 4 * int(counts.mean()) + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_stretches(batches, 1):
             digests, sizes, lists = [], [], []
-            for text in batch.column(1).to_pylist():
-                codes = shingle_set(text, hashes)
+            for codes in words.shingle_sets(batch.column(1), SIZE):
                 digests.append(digest_of(codes))
                 sizes.append(len(codes))
                 lists.append(in_order(codes, counts)[: prefix_length(len(codes), percent)] if len(codes) else codes)
@@ -182,13 +176,17 @@ def listed_prefixes(documents: DataFrame, counts: np.ndarray, percent: int, part
                     batch.column(0),
                     pa.array(digests, pa.binary()),
                     pa.array(sizes, pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64))),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(parts.astype(np.int32))),
+                    pa.ListArray.from_arrays(
+                        pa.array(offsets),
+                        pa.StructArray.from_arrays(
+                            [pa.array(flat.view(np.int64)), pa.array(parts.astype(np.int32))], ["code", "parts"]
+                        ),
+                    ),
                 ],
-                ["doc_id", "digest", "n", "codes", "parts"],
+                ["doc_id", "digest", "n", "listed"],
             )
 
-    schema = "doc_id long, digest binary, n long, codes array<long>, parts array<int>"
+    schema = "doc_id long, digest binary, n long, listed array<struct<code: long, parts: int>>"
     return documents.select("doc_id", text_bytes().alias("text")).where("doc_id is not null").mapInArrow(run, schema)
 
 
@@ -202,10 +200,10 @@ def index_lists(documents: DataFrame, nodes: DataFrame, counts: np.ndarray, perc
     the entry's part of the list as its hub, null where it cannot link."""
     prefixes = listed_prefixes(documents, counts, percent, part_entries)
     named = prefixes.join(nodes.select("digest", "doc_id", "node"), ["digest", "doc_id"]).select(
-        "node", F.col("n").cast("int").alias("n"), F.posexplode(F.arrays_zip("codes", "parts")).alias("pos", "e")
+        "node", F.col("n").cast("int").alias("n"), F.posexplode("listed").alias("pos", "e")
     )
     entries = named.select(
-        F.col("e.codes").alias("code"), "node", "n", "pos", F.col("e.parts").alias("parts"),
+        F.col("e.code"), "node", "n", "pos", F.col("e.parts").alias("parts"),
         F.pmod(F.xxhash64("node"), F.col("e.parts")).cast("int").alias("part"),
     )
     part = Window.partitionBy("code", "part")
@@ -239,14 +237,14 @@ def with_bits(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 def full_sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, codes) of the wanted nodes (node, doc_id, digest), read again from their texts."""
-    hashes = WordHashes()
+    words = WordCodes()
     texts = documents.select("doc_id", text_bytes().alias("text")).join(wanted.select("doc_id", "node", "digest"), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_stretches(batches, 0):
             nodes, sets = [], []
-            for text, node, digest in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                codes = shingle_set(text, hashes)
+            found = words.shingle_sets(batch.column(0), SIZE)
+            for codes, node, digest in zip(found, *(batch.column(i).to_pylist() for i in (1, 2)), strict=True):
                 if digest_of(codes) == digest:
                     nodes.append(node)
                     sets.append(codes.tobytes())
@@ -531,3 +529,37 @@ def joined(documents: DataFrame, percent: int = 80, part_entries: int = LIST) ->
         join.rows.join(found, "digest", "left")
         .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", empty)).alias("component_id"))
     )
+
+
+SQL = r"""
+WITH RECURSIVE texts AS (
+    SELECT row_number() OVER () AS id, doc_id,
+           list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
+    FROM documents
+), sets AS (
+    SELECT id, doc_id, list_distinct(CASE WHEN len(words) = 0 THEN []
+               WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+               ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) END) AS shingles
+    FROM texts
+), nodes AS (
+    SELECT min(doc_id) AS node, list_sort(shingles) AS shingles FROM sets WHERE len(shingles) > 0 GROUP BY list_sort(shingles)
+), held AS (
+    SELECT node, len(shingles) AS n, unnest(shingles) AS shingle FROM nodes
+), common AS (
+    SELECT a.node AS u, b.node AS v, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS c
+    FROM held a JOIN held b ON a.shingle = b.shingle AND a.node < b.node GROUP BY a.node, b.node
+), links AS (
+    SELECT u, v FROM common WHERE 100 * c >= 80 * (n + m - c)
+    UNION SELECT n.node, s.doc_id FROM sets s JOIN nodes n ON n.shingles = list_sort(s.shingles)
+), both_ways AS (
+    SELECT u, v FROM links UNION SELECT v, u FROM links
+), reach AS (
+    SELECT u, u AS v FROM both_ways
+    UNION SELECT r.u, b.v FROM reach r JOIN both_ways b ON b.u = r.v
+), least AS (
+    SELECT u, min(v) AS component_id FROM reach GROUP BY u
+)
+SELECT doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles, coalesce(component_id, doc_id) AS component_id
+FROM sets LEFT JOIN least ON u = doc_id
+"""
