@@ -10,8 +10,8 @@ by the planes above gives. Counts of ones before every 512th bit give rank in co
 gives access to an id, counting of an id and the places where it occurs, without unpacking the shard.
 
 Tokenizing: the pre-tokenizer of byte-level BPE never joins a word to what stands before its space, so
-in a text without adjacent white space every word is encoded alone, once, and looked up after. Other
-texts go to the library whole.
+in texts without adjacent white space every word is encoded alone, once, and looked up after, the words
+of many texts at a time. Other texts go to the library whole.
 
 Defined results: null and empty texts hold the end id only. Null doc_ids come first. Repeated rows and
 ties are ordered by text. A document is never cut between shards; one longer than a shard has a
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from countermill.llm.common import crc
+from countermill.llm.common import MIX, WordCodes, crc, in_stretches, mixed, text_bytes
 from countermill.session import work_folder
 
 BLOCK = 512
@@ -135,32 +135,62 @@ class WaveletMatrix:
         return place
 
 
-class Words(dict):
-    """Ids of words as little-endian bytes, kept between texts up to a number of words."""
-
-    def __init__(self, tokenizer, prefix: str, kind: str, most: int = 600_000):
-        self.tokenizer, self.prefix, self.kind, self.most = tokenizer, prefix, kind, most
-
-    def __missing__(self, word: str) -> bytes:
-        if word[:1].isspace() or word[-1:].isspace():
-            raise ValueError("white space meets white space")
-        return self.keep(word, self.tokenizer.encode(self.prefix + word, add_special_tokens=False).ids)
-
-    def keep(self, word: str, ids: list[int]) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = value = np.array(ids, self.kind).tobytes()
-        return value
-
-    def learn(self, words: list[str]) -> None:
-        """Encodes the words not yet known, all in one call."""
-        new = [w for w in set(words) if w and w not in self and not (w[0].isspace() or w[-1].isspace())]
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for word, code in zip(
-                part, self.tokenizer.encode_batch_fast([self.prefix + w for w in part], add_special_tokens=False), strict=True
-            ):
-                self.keep(word, code.ids)
+class UnitIds:
+    """Ids of units of text by their 64-bit codes: an open-addressed table of a bounded number of units, so
+    that many codes are looked up at once."""
+
+    def __init__(self, kind: str, most: int = 1_500_000):
+        self.kind, self.most, self.bits = kind, most, most.bit_length() + 1
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys = np.zeros(1 << self.bits, np.uint64)
+        self.places = np.full(1 << self.bits, -1, np.int32)
+        self.units = 0
+        self.starts, self.lengths = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.usable = np.zeros(1 << 16, bool)
+        self.ids, self.used = np.zeros(1 << 18, self.kind), 0
+
+    def find(self, codes: np.ndarray) -> np.ndarray:
+        """The place of each code's unit, -1 for one that is not known."""
+        out = np.full(len(codes), -1, np.int32)
+        slot, left = (codes >> np.uint64(64 - self.bits)).astype(np.int64), np.arange(len(codes))
+        while len(left):
+            place = self.places[slot]
+            hit = (self.keys[slot] == codes) & (place >= 0)
+            out[left[hit]] = place[hit]
+            on = ~hit & (place >= 0)
+            left, codes, slot = left[on], codes[on], (slot[on] + 1) & ((1 << self.bits) - 1)
+        return out
+
+    def add(self, codes: np.ndarray, units: list[list[int] | None]) -> None:
+        """Different codes that are not known, with their ids; None for a unit that has none of its own."""
+        first, count = self.units, len(units)
+        while first + count > len(self.starts):
+            self.starts, self.lengths, self.usable = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths, self.usable))
+        lengths = np.array([len(u or ()) for u in units], np.int64)
+        flat = np.array([i for u in units for i in u or ()], self.kind)
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.lengths[first : first + count] = lengths
+        self.starts[first : first + count] = self.used + np.cumsum(lengths) - lengths
+        self.usable[first : first + count] = [u is not None for u in units]
+        self.used += len(flat)
+        self.units += count
+        slot, place = (codes >> np.uint64(64 - self.bits)).astype(np.int64), np.arange(first, first + count, dtype=np.int32)
+        while len(place):
+            free = np.flatnonzero(self.places[slot] < 0)
+            taken, one = np.unique(slot[free], return_index=True)
+            self.keys[taken], self.places[taken] = codes[free[one]], place[free[one]]
+            rest = np.ones(len(place), bool)
+            rest[free[one]] = False
+            codes, place, slot = codes[rest], place[rest], (slot[rest] + 1) & ((1 << self.bits) - 1)
+
+
+SPACE, NEWLINE = 0x20, 0x0A
+#: What stands before a unit: the start of the text, a space, or a new line.
+AT_START, AFTER_SPACE, AFTER_NEWLINE = range(3)
 
 
 class Encoder:
@@ -173,24 +203,66 @@ class Encoder:
         top = max(self.tokenizer.get_vocab(with_added_tokens=True).values())
         self.kind = "<u2" if top < 1 << 16 else "<u4"
         self.bits = max(1, int(top).bit_length())
-        self.first, self.later = Words(self.tokenizer, "", self.kind), Words(self.tokenizer, " ", self.kind)
-        self.newline = np.array(self.tokenizer.encode("\n", add_special_tokens=False).ids, self.kind).tobytes()
+        self.words, self.known = WordCodes(lower=False), UnitIds(self.kind)
+        self.newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
     def __call__(self, text: str) -> bytes:
-        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[:1] == "\n" == text[-1:]:
-            return self.whole(text)
-        try:
-            lines = [line.split(" ") for line in text.split("\n")]
-            for words in lines:
-                if len(words) > 200:
-                    self.later.learn(words[1:])
-            first, later = self.first.__getitem__, self.later.__getitem__
-            return self.newline.join([first(words[0]) + b"".join(map(later, words[1:])) for words in lines])
-        except ValueError:
-            return self.whole(text)
+        return self.all([text.encode()])[0].tobytes()
+
+    def learn(self, codes: np.ndarray, units: list[tuple[int, str]]) -> None:
+        """Encodes new units (what stands before, word), all in one call."""
+        apart = [not (w[:1].isspace() or w[-1:].isspace()) for _, w in units]
+        spelled = [" " + w if before == AFTER_SPACE else w for before, w in units]
+        ids: list[list[int] | None] = []
+        for at in range(0, len(units), 20_000):
+            part = self.tokenizer.encode_batch_fast(spelled[at : at + 20_000], add_special_tokens=False)
+            for code, (before, _), good in zip(part, units[at : at + 20_000], apart[at : at + 20_000], strict=True):
+                ids.append((self.newline + code.ids if before == AFTER_NEWLINE else code.ids) if good else None)
+        self.known.add(codes, ids)
+
+    def all(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of many texts. Units of all texts in which no white space meets white space are coded and looked
+        up at once; the other texts go to the library one by one."""
+        plain = [i for i, t in enumerate(texts) if not white_space_meets(t)]
+        out: list[np.ndarray | None] = [None] * len(texts)
+        data = np.frombuffer(b"".join([texts[i] for i in plain]), np.uint8)
+        ends = np.cumsum([0, *(len(texts[i]) for i in plain)])
+        cuts = np.flatnonzero((data == SPACE) | (data == NEWLINE))
+        starts, stops = np.sort(np.concatenate([ends[:-1], cuts + 1])), np.sort(np.concatenate([cuts, ends[1:]]))
+        first = np.arange(len(plain)) + np.searchsorted(cuts, ends[:-1])
+        before = np.where(data[starts - 1] == NEWLINE, AFTER_NEWLINE, AFTER_SPACE) if len(data) else np.zeros(len(starts), int)
+        before[first] = AT_START
+
+        codes = mixed(self.words.codes(data, starts, stops) + before.astype(np.uint64) * MIX[1])
+        place = self.known.find(codes)
+        if (place < 0).any():
+            new, at = np.unique(codes[place < 0], return_index=True)
+            if self.known.units + len(new) > self.known.most:
+                self.known.clear()
+                new, at = np.unique(codes, return_index=True)
+                where = at
+            else:
+                where = np.flatnonzero(place < 0)[at]
+            self.learn(new, [(int(before[i]), data[starts[i] : stops[i]].tobytes().decode()) for i in where.tolist()])
+            place = self.known.find(codes)
+
+        counts = self.known.lengths[place]
+        upto = np.concatenate([[0], np.cumsum(counts)])
+        ids = self.known.ids[np.repeat(self.known.starts[place] - upto[:-1], counts) + np.arange(upto[-1])]
+        odd = np.concatenate([[0], np.cumsum(~self.known.usable[place])])
+        borders = np.append(first, len(starts))
+        whole = odd[borders[1:]] > odd[borders[:-1]]
+        for i, start, stop, bad in zip(plain, upto[borders[:-1]].tolist(), upto[borders[1:]].tolist(), whole.tolist(), strict=True):
+            if not bad:
+                out[i] = ids[start:stop]
+        return [np.frombuffer(self.whole(t.decode()), self.kind) if o is None else o for o, t in zip(out, texts, strict=True)]
+
+
+def white_space_meets(text: bytes) -> bool:
+    return b"  " in text or b"\n\n" in text or b" \n" in text or b"\n " in text or text[:1] == b"\n" == text[-1:]
 
 
 @lru_cache(maxsize=2)
@@ -211,16 +283,16 @@ def shards(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer or byte_bpe_path())
-        end = np.array([end_id], encode.kind).tobytes()
-        held: list[bytes] = []
+        end = np.array([end_id], encode.kind)
+        held: list[np.ndarray] = []
         ids: list[int | None] = []
+        lengths: list[int] = []
         size = number = 0
         task = None
 
         def close() -> pa.RecordBatch:
-            data = np.frombuffer(b"".join(held), encode.kind)
+            data = np.concatenate(held)
             matrix = WaveletMatrix.build(data, encode.bits)
-            width = np.dtype(encode.kind).itemsize
             columns = [
                 [(task << 32) + number],
                 [ids[0]],
@@ -228,7 +300,7 @@ def shards(
                 [encode.bits],
                 [np.array([i or 0 for i in ids], "<i8").tobytes()],
                 [np.packbits([i is None for i in ids]).tobytes()],
-                [np.array([len(x) // width for x in held], "<i8").tobytes()],
+                [np.array(lengths, "<i8").tobytes()],
                 [matrix.zeros.tobytes()],
                 [matrix.planes.tobytes()],
                 [matrix.ranks.tobytes()],
@@ -237,21 +309,22 @@ def shards(
             names = [field.split()[0] for field in FORMAT.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-        for batch in batches:
+        for batch in in_stretches(batches, 1):
             task = partition_number() if task is None else task
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                code = encode(text.as_py() or "") + end
-                held.append(code)
+            codes = encode.all(batch.column(1).to_pylist())
+            for doc_id, code in zip(batch.column(0).to_pylist(), codes, strict=True):
+                held += [code, end]
                 ids.append(doc_id)
-                size += len(code) // np.dtype(encode.kind).itemsize
+                lengths.append(len(code) + 1)
+                size += len(code) + 1
                 if size >= shard_tokens:
                     yield close()
-                    held, ids, size, number = [], [], 0, number + 1
+                    held, ids, lengths, size, number = [], [], [], 0, number + 1
         if held:
             yield close()
 
     ordered = documents.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return ordered.mapInArrow(run, FORMAT)
+    return ordered.select("doc_id", text_bytes().alias("text")).mapInArrow(run, FORMAT)
 
 
 def partition_number() -> int:
