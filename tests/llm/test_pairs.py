@@ -171,6 +171,44 @@ def test_blocks_find_every_fingerprint_within_the_radius():
         assert sorted(items.within(20, code)) == want
 
 
+def test_radius_lets_borderline_pairs_through():
+    """Windows of 40 words just above a similarity of 0.8 with an item, the hardest ones there are."""
+    import numpy as np
+
+    rng = random.Random(6)
+    found = pairs = chosen = 0
+    while pairs < 1500:
+        texts = [prose(rng, 40) for _ in range(25)]
+        items = decontaminate.Items(list(enumerate(texts)), 0.8, 19)
+        for i, text in enumerate(texts):
+            words = text.split(" ")
+            words[rng.choice((0, 1, 2, 3, 37, 38, 39, 36))] = "otherword"
+            window = items.windows(items.hasher.of([" ".join(words)])[0], 5)
+            similarity = decontaminate.bag_similarity(window, items.by_words[40][i][1])
+            if 0.8 <= similarity < 0.9:
+                pairs += 1
+                code = decontaminate.fingerprint(window)
+                found += i in items.within(40, code)
+                chosen += len(items.candidates(code)) / 25
+    assert found / pairs > 0.998
+    assert chosen / pairs < 0.25
+
+
+def test_plain_codes_are_those_of_plain_words():
+    rng = random.Random(3)
+    signs = "aAbé ÉßÑ\u00a0\u3000\u201c\u201d¿×÷_-.\x1c\n日本İ"
+    hasher = decontaminate.PlainCodes()
+    seen: dict = {}
+    for _ in range(1500):
+        texts = ["".join(rng.choice(signs) for _ in range(rng.choice((0, 1, 5, 20)))) for _ in range(3)]
+        codes, places = hasher.of(texts)
+        words = [decontaminate.plain_words(t) for t in texts]
+        assert [places[i + 1] - places[i] for i in range(3)] == [len(w) for w in words]
+        for word, code in zip((w for own in words for w in own), codes.tolist(), strict=True):
+            assert seen.setdefault(word, code) == code
+    assert len(set(seen.values())) == len(seen)
+
+
 def test_odd_rows_and_empty_tables(spark, tricky, nothing):
     benchmark = spark.createDataFrame([(1, "One two")], "item_id long, text string")
     assert {r.doc_id for r in decontaminate.matches(tricky, benchmark).collect()} == {7, 8}
