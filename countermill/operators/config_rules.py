@@ -277,8 +277,11 @@ def poll_load(fleets: DataFrame, devices: DataFrame, channels: DataFrame) -> Dat
     )
 
 
-def validate_fleet(fleets: DataFrame, devices: DataFrame, channels: DataFrame) -> DataFrame:
-    """Findings of the fleet settings, of its devices (prefixed) and of the fleet as a whole.
+def validate_fleet(
+    fleets: DataFrame, devices: DataFrame, channels: DataFrame, documents: DataFrame | None = None
+) -> DataFrame:
+    """Findings of the fleet settings, of its devices (prefixed) and of the fleet as a whole, and with
+    `documents` the findings of the documents that the tables come from.
 
     A fleet without devices passes.
     """
@@ -333,7 +336,8 @@ def validate_fleet(fleets: DataFrame, devices: DataFrame, channels: DataFrame) -
     cascade = validate_devices(devices, channels).withColumn(
         "message", F.concat(F.lit("Device '"), F.coalesce("device_id", F.lit("")), F.lit("': "), F.col("message"))
     )
-    return own.unionByName(twice).unionByName(cascade)
+    found = own.unionByName(twice).unionByName(cascade)
+    return found if documents is None else found.unionByName(documents)
 
 
 def all_violations(fleets: DataFrame, devices: DataFrame, channels: DataFrame) -> DataFrame:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from countermill.functions.health import health_score, success_rate
 from countermill.functions.quality import status_name
-from countermill.operators.slices import fill_forward, slice_start
-from countermill.vocab import DAY_US, HOUR_US, STATUS
+from countermill.operators.slices import by_key_and_slice, fill_forward, whole_row_order
+from countermill.vocab import HOUR_US, STATUS
 
 LIFECYCLE = ["start", "add", "update", "remove", "stop"]
 
@@ -46,34 +46,32 @@ def health_events(
     return log
 
 
-def assign_epochs(events: DataFrame, present_at_start: bool = True, slice_us: int = DAY_US) -> DataFrame:
-    """Number the monitoring periods of each device and drop events outside of them.
+def rejected_events(events: DataFrame) -> DataFrame:
+    """Events that no health can be worked out from, as they are, with the reason: without a time an event
+    has no place in the order of its device. Every other event, one without a device included, is folded."""
+    return events.filter(F.col("us").isNull()).withColumn("reason", F.lit("no_time"))
 
-    A period starts with a start or add event of an absent device and ends with remove or stop.
-    Adding a present device, removing or updating an absent one are refused, and reads of an
-    absent device are ignored. `epoch_us` and `epoch_seq` identify a period by its first event.
+
+def monitored(events: DataFrame, present_at_start: bool = True, slice_us: int = HOUR_US) -> DataFrame:
+    """Events that count: reads, probes and updates of a present device, and the changes that take effect.
+
+    A period starts with a start or add event of an absent device and ends with remove or stop. Adding
+    a present device, removing or updating an absent one are refused, and reads of an absent device are
+    ignored. What a change does depends on the kind of the change before it only, so that one value is
+    carried from slice to slice. The rows keep `_key` and `_slice`.
     """
     opens = F.col("kind").isin("start", "add")
     closes = F.col("kind").isin("remove", "stop")
-    # Changes are few; what a change does depends on the change before it.
-    changes = events.filter(opens | closes)
-    before = fill_forward(changes, ["device_id"], {"_was": opens}, inclusive=False, slice_us=slice_us)
-    was = F.coalesce("_was", F.lit(present_at_start))
-    effective = before.withColumn("_effective", opens != was)
-    first = F.when(opens & F.col("_effective"), F.struct("us", "seq"))
-    periods = fill_forward(effective, ["device_id"], {"_first": first}, slice_us=slice_us).select(
-        *events.columns,
-        F.struct(opens.alias("present"), F.col("_effective").alias("effective"), F.col("_first").alias("first")).alias(
-            "_change"
-        ),
-    )
-    marked = events.filter(~(opens | closes)).unionByName(periods, allowMissingColumns=True)
-    state = fill_forward(marked, ["device_id"], {"_state": F.col("_change")}, slice_us=slice_us)
-    now = F.col("_state")
-    counted = F.when(opens | closes, now["effective"]).otherwise(F.coalesce(now["present"], F.lit(present_at_start)))
-    return state.filter(counted).select(
-        *events.columns, now["first"]["us"].alias("epoch_us"), now["first"]["seq"].alias("epoch_seq")
+    before = fill_forward(
+        events,
+        ["device_id"],
+        {"_was": F.when(opens | closes, opens)},
+        inclusive=False,
+        slice_us=slice_us,
+        keep_slice=True,
     )
+    was = F.coalesce("_was", F.lit(present_at_start))
+    return before.filter(F.col("us").isNotNull() & (opens != was)).drop("_was")
 
 
 def health_fold(
@@ -81,71 +79,84 @@ def health_fold(
 ) -> DataFrame:
     """State of each device after every event, as one row per event.
 
-    The running counts of a slice are windows; what enters a slice is a running sum over one
-    summary row per earlier slice. Both read the same shuffle on (keys, slice).
+    Start and add events begin the counts anew. The running counts of a slice are windows; what enters
+    a slice is a running sum over one summary row per earlier slice, which is the last row of that slice.
+    All of it reads one shuffle on (keys, slice). Events without a time are left out, see
+    `rejected_events`; null keys are keys of their own. Events that already carry `_key` and `_slice` are
+    not shuffled again.
     """
     seed = F.lit(start_us).cast("bigint")
     reads = F.col("kind").isin("read", "probe")
+    fresh = F.col("kind").isin("start", "add")
     succeeded = reads & F.coalesce("success", F.lit(False))
     renews = succeeded | F.col("kind").isin("start", "add", "update")
     own_error = F.struct(F.when(~succeeded, F.col("error")).alias("error"))
-    upto = Window.partitionBy(*keys, "_slice").orderBy("us", "seq")
-    running = upto.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    if "_slice" in events.columns:
+        spread = events.drop(*keys)
+    else:
+        cut = by_key_and_slice(events, keys, "us", slice_us)
+        spread = cut.filter(F.col("_slice").isNotNull()).repartition("_key", "_slice")
 
-    cut = events.withColumn("_slice", slice_start(F.col("us"), slice_us))
-    # The explicit filter keeps both uses of the shuffle alike, so that it is made once.
-    spread = cut.filter(F.col("_slice").isNotNull()).repartition(*keys, "_slice")
+    upto = Window.partitionBy("_key", "_slice").orderBy(*whole_row_order(spread, ["us", "seq"]))
+    running = upto.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     counted = spread.select(
         "*",
         F.sum(reads.cast("bigint")).over(running).alias("_reads"),
         F.sum(succeeded.cast("bigint")).over(running).alias("_oks"),
         F.lag("us").over(upto).alias("_prev"),
+        F.lead(F.lit(True)).over(upto).alias("_more"),
         F.last(F.when(F.col("kind") != "remove", own_error), True).over(running).alias("_err"),
     )
+    at_fresh = F.struct(F.col("us"), F.col("seq"), F.col("_reads").alias("reads"), F.col("_oks").alias("oks"))
+    no_success = F.struct(F.lit(None).cast("bigint").alias("us"), F.lit(None).cast("bigint").alias("prev"))
     inside = counted.select(
         "*",
         F.max(F.when(renews, F.col("_reads"))).over(running).alias("_renewed"),
-        F.last(F.when(succeeded, F.struct("us", F.col("_prev").alias("prev"))), True).over(running).alias("_ok"),
+        F.last(F.when(fresh, at_fresh), True).over(running).alias("_fresh"),
+        F.last(F.when(succeeded, F.struct("us", F.col("_prev").alias("prev"))).when(fresh, no_success), True)
+        .over(running)
+        .alias("_ok"),
     )
 
-    at = F.struct("us", "seq")
-    ends = inside.groupBy(*keys, "_slice").agg(
-        F.max("_reads").alias("n"),
-        F.max("_oks").alias("k"),
-        F.max("us").alias("last_us"),
-        F.max("_renewed").alias("renewed"),
-        F.max_by("_ok", at).alias("ok"),
-        F.max_by("_err", at).alias("err"),
-    )
-    order = Window.partitionBy(*keys).orderBy("_slice")
+    ends = inside.filter(F.col("_more").isNull())
+    order = Window.partitionBy("_key").orderBy("_slice")
     earlier = order.rowsBetween(Window.unboundedPreceding, -1)
     through = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    entering = (
-        ends.withColumn("reads_in", F.sum("n").over(through) - F.col("n"))
-        .withColumn("oks_in", F.sum("k").over(through) - F.col("k"))
-        .withColumn("prev_in", F.coalesce(F.max("last_us").over(earlier), seed))
-        .withColumn("renewed_in", F.coalesce(F.max(F.col("reads_in") + F.col("renewed")).over(earlier), F.lit(0)))
-        .withColumn("gap", F.col("ok")["us"] - F.coalesce(F.col("ok")["prev"], F.col("prev_in")))
-        .select(
-            *keys,
-            "_slice",
-            "reads_in",
-            "oks_in",
-            "prev_in",
-            (F.col("reads_in") - F.col("renewed_in")).alias("run_in"),
-            F.last("gap", ignorenulls=True).over(earlier).alias("gap_in"),
-            F.last("err", ignorenulls=True).over(earlier).alias("err_in"),
-        )
+    # Sums over all earlier slices, and what they were when the counts last began anew.
+    sums = (
+        ends.withColumn("sum_n", F.sum("_reads").over(through) - F.col("_reads"))
+        .withColumn("sum_k", F.sum("_oks").over(through) - F.col("_oks"))
+        .withColumn("prev_in", F.coalesce(F.last("us").over(earlier), seed))
+    )
+    begun = F.struct(
+        F.col("_fresh")["us"].alias("us"),
+        F.col("_fresh")["seq"].alias("seq"),
+        (F.col("sum_n") + F.col("_fresh")["reads"]).alias("n"),
+        (F.col("sum_k") + F.col("_fresh")["oks"]).alias("k"),
+    )
+    gap = F.struct((F.col("_ok")["us"] - F.coalesce(F.col("_ok")["prev"], F.col("prev_in"))).alias("gap"))
+    entering = sums.select(
+        "_key",
+        "_slice",
+        "sum_n",
+        "sum_k",
+        "prev_in",
+        F.last(F.when(F.col("_fresh").isNotNull(), begun), True).over(earlier).alias("fresh_in"),
+        (F.col("sum_n") - F.coalesce(F.max(F.col("sum_n") + F.col("_renewed")).over(earlier), F.lit(0))).alias("run_in"),
+        F.last(F.when(F.col("_ok").isNotNull(), gap), True).over(earlier)["gap"].alias("gap_in"),
+        F.last("_err", True).over(earlier).alias("err_in"),
     )
 
-    total = F.col("reads_in") + F.col("_reads")
-    ok = F.col("oks_in") + F.col("_oks")
+    own = F.col("_fresh").isNotNull()
+    since = {name: F.coalesce(F.col("fresh_in")[name], F.lit(0)) for name in ("n", "k")}
+    total = F.when(own, F.col("_reads") - F.col("_fresh")["reads"]).otherwise(F.col("sum_n") + F.col("_reads") - since["n"])
+    ok = F.when(own, F.col("_oks") - F.col("_fresh")["oks"]).otherwise(F.col("sum_k") + F.col("_oks") - since["k"])
     run = F.when(F.col("_renewed").isNotNull(), F.col("_reads") - F.col("_renewed")).otherwise(
         F.col("run_in") + F.col("_reads")
     )
-    gap = F.when(F.col("_ok").isNotNull(), F.col("_ok")["us"] - F.coalesce(F.col("_ok")["prev"], F.col("prev_in"))).otherwise(
-        F.col("gap_in")
-    )
+    last_gap = F.when(
+        F.col("_ok").isNotNull(), F.col("_ok")["us"] - F.coalesce(F.col("_ok")["prev"], F.col("prev_in"))
+    ).otherwise(F.col("gap_in"))
     status = (
         F.when(succeeded, F.lit(STATUS["Online"]))
         .when(reads, F.lit(STATUS["Error"]))
@@ -153,8 +164,8 @@ def health_fold(
         .otherwise(F.lit(STATUS["Unknown"]))
     )
     error = F.coalesce("_err", "err_in")["error"]
-    return inside.join(entering, [*keys, "_slice"]).select(
-        *keys,
+    return inside.join(entering, ["_key", "_slice"], "left").select(
+        *[F.col("_key")[k].alias(k) for k in keys],
         "us",
         F.timestamp_micros("us").alias("ts"),
         "seq",
@@ -162,19 +173,21 @@ def health_fold(
         status.alias("status"),
         status_name(status).alias("status_name"),
         succeeded.alias("is_connected"),
-        gap.alias("last_successful_read_us"),
+        last_gap.alias("last_successful_read_us"),
         run.alias("consecutive_failures"),
         F.lit(None).cast("double").alias("communication_latency"),
         F.when(succeeded, F.lit(None)).otherwise(error).alias("last_error"),
         total.alias("total_reads"),
         ok.alias("successful_reads"),
         success_rate(total, ok).alias("success_rate"),
+        F.coalesce(F.col("_fresh")["us"], F.col("fresh_in")["us"]).alias("epoch_us"),
+        F.coalesce(F.col("_fresh")["seq"], F.col("fresh_in")["seq"]).alias("epoch_seq"),
     )
 
 
 def health_history(events: DataFrame, start_us: int | None = None, slice_us: int = HOUR_US) -> DataFrame:
     """Health after every read or probe of devices that are never added or removed."""
-    return health_fold(events, start_us=start_us, slice_us=slice_us)
+    return health_fold(events, start_us=start_us, slice_us=slice_us).drop("epoch_us", "epoch_seq")
 
 
 def last_successful_read(events: DataFrame, start_us: int | None = None, slice_us: int = HOUR_US) -> DataFrame:
@@ -189,16 +202,16 @@ def health_epochs(
 ) -> DataFrame:
     """Health with devices added, updated and removed on the way.
 
-    Every change but the initial start and the final stop emits a row.
+    Every change but the initial start and the final stop emits a row. `epoch_us` and `epoch_seq` are
+    the event that began the period; a device present from the beginning has none, so its period is
+    numbered by the start.
     """
-    epochs = assign_epochs(events, present_at_start, slice_us)
-    keys = ["device_id", "epoch_us", "epoch_seq"]
-    # A device present from the beginning has no first event; its period is numbered by the start.
-    numbered = epochs.withColumn("epoch_us", F.coalesce("epoch_us", F.lit(start_us or 0).cast("bigint"))).withColumn(
-        "epoch_seq", F.coalesce("epoch_seq", F.lit(-1).cast("bigint"))
-    )
-    folded = health_fold(numbered, keys, start_us=start_us, slice_us=slice_us)
-    return folded.filter(~F.col("kind").isin("start", "stop"))
+    folded = health_fold(monitored(events, present_at_start, slice_us), start_us=start_us, slice_us=slice_us)
+    return (
+        folded.filter(~F.col("kind").isin("start", "stop"))
+        .withColumn("epoch_us", F.coalesce("epoch_us", F.lit(start_us or 0).cast("bigint")))
+        .withColumn("epoch_seq", F.coalesce("epoch_seq", F.lit(-1).cast("bigint")))
+    )
 
 
 def latest_per_device(health: DataFrame, device_id: str | None = None) -> DataFrame:

@@ -7,12 +7,10 @@ the partitions of a busy device.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from countermill.operators.filters import enabled_channels, successful_polls
-from countermill.operators.slices import fill_forward
-from countermill.vocab import DAY_US
 
 SERIES = ["device_id", "channel"]
 
@@ -37,36 +35,43 @@ def join_line(rows: DataFrame, lines: DataFrame, tag: str = "line") -> DataFrame
     return mapped.withColumn("line", F.coalesce(own, F.col("_line"))).drop("_line")
 
 
+def version_runs(versions: DataFrame, keys: list[str], valid_from: str, run: int) -> DataFrame:
+    """The versions of a key as runs of at most `run`, each an array in order of time, with the time from
+    which the run holds and the one at which the next begins (NULL for the last). Of versions that start at
+    the same time the greatest settings hold."""
+    settings = [c for c in versions.columns if c not in keys and c != valid_from]
+    in_time = Window.partitionBy(*keys).orderBy(*map(F.col, (valid_from, *settings)))
+    numbered = versions.filter(F.col(valid_from).isNotNull()).select(
+        *keys,
+        F.struct(valid_from, *settings).alias("version"),
+        F.floor((F.row_number().over(in_time) - 1) / run).alias("run"),
+    )
+    runs = numbered.groupBy(*keys, "run").agg(F.array_sort(F.collect_list("version")).alias("versions"))
+    start = F.col("versions")[0][valid_from]
+    following = F.lead(start).over(Window.partitionBy(*keys).orderBy("run"))
+    return runs.select(*[F.col(k).alias(f"_{k}") for k in keys], start.alias("_start"), following.alias("_next"), "versions")
+
+
 def config_as_of(
     readings: DataFrame,
     versions: DataFrame,
     keys: list[str] = ["device_id"],
     valid_from: str = "valid_from_us",
-    slice_us: int = DAY_US,
+    run: int = 16,
 ) -> DataFrame:
     """Add `config`: the settings in force at each reading; a version holds from its start, inclusive.
 
-    Versions and readings are put into one order and the latest version is carried forward, so no
-    reading is paired with more than one version.
+    Versions are a small side: a key has one row with its versions in time order, or, beyond `run`
+    versions, one row per run of them. A reading meets the one row that holds at its time and looks its
+    version up there, so readings are neither sorted nor put together with versions they do not need.
+    Readings before the first version, without a time or of a key without versions have a NULL config.
     """
-    settings = [c for c in versions.columns if c not in keys and c != valid_from]
-    payload = F.struct(F.col(valid_from), *settings)
-    row = F.struct(*[c for c in readings.columns if c not in keys])
-    changes = versions.select(
-        *keys,
-        F.col(valid_from).alias("_us"),
-        F.lit(0).alias("_kind"),
-        F.lit(-1).cast("bigint").alias("_seq"),
-        payload.alias("_version"),
-    )
-    asks = readings.select(
-        *keys, F.col("us").alias("_us"), F.lit(1).alias("_kind"), F.col("seq").alias("_seq"), row.alias("_row")
-    )
-    merged = changes.unionByName(asks, allowMissingColumns=True)
-    filled = fill_forward(
-        merged, keys, {"config": F.col("_version")}, order=["_us", "_kind", "_seq"], slice_us=slice_us
-    )
-    return filled.filter(F.col("_kind") == 1).select(*keys, "_row.*", "config")
+    runs = version_runs(versions, keys, valid_from, run)
+    meets = (F.col("us") >= F.col("_start")) & (F.col("_next").isNull() | (F.col("us") < F.col("_next")))
+    for k in keys:
+        meets = F.col(k).eqNullSafe(F.col(f"_{k}")) & meets
+    started = F.filter("versions", lambda v: v[valid_from] <= F.col("us"))
+    return readings.join(runs, meets, "left").select(*readings.columns, F.try_element_at(started, F.lit(-1)).alias("config"))
 
 
 def unread_channels(polls: DataFrame, channels: DataFrame) -> DataFrame:

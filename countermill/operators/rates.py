@@ -27,7 +27,7 @@ def rate_between(old_us: Column, old: Column, new_us: Column, new: Column, wrap:
 
 def counter_rate(
     df: DataFrame,
-    window_seconds: int = RATE_WINDOW_SECONDS,
+    window_seconds: int | Column = RATE_WINDOW_SECONDS,
     inclusive: bool = True,
     wrap: str | None = "compat",
     gate: Column | None = None,
@@ -38,17 +38,20 @@ def counter_rate(
     """Add `rate`: from the oldest point within the window to each row, per device and channel.
 
     Input carries `us` and `seq`; order is event time, then arrival. Rows whose `gate` is false
-    stay out of the history and have no rate.
+    stay out of the history and have no rate. `window_seconds` may be a column, so that every series has
+    the window of its own settings.
     """
     slice_us = slice_seconds * SECOND_US if slice_seconds else None
+    own = isinstance(window_seconds, Column)
+    window_us = window_seconds.cast("bigint") * F.lit(SECOND_US) if own else window_seconds * SECOND_US
     found = with_oldest(
-        df, keys, value, window_seconds * SECOND_US, inclusive=inclusive, gate=gate, slice_us=slice_us
+        df, keys, value, window_us, inclusive=inclusive, gate=gate, slice_us=slice_us
     )
     old = F.col("oldest")
     return found.withColumn("rate", rate_between(old["us"], old["value"], F.col("us"), F.col(value), wrap)).drop("oldest")
 
 
-def counter_rate_open(df: DataFrame, window_seconds: int = OPEN_RATE_WINDOW_SECONDS, **options) -> DataFrame:
+def counter_rate_open(df: DataFrame, window_seconds: int | Column = OPEN_RATE_WINDOW_SECONDS, **options) -> DataFrame:
     """The script variant: the lower bound is exclusive and drops stay negative."""
     return counter_rate(df, window_seconds, inclusive=False, wrap=None, **options)
 

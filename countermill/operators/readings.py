@@ -133,3 +133,20 @@ def read_and_log(
     else:
         counts = counts.withColumn("rate", F.lit(None).cast("double"))
     return counts.withColumn("near_overflow", near_overflow(F.col("count"), overflow_threshold))
+
+
+def read_and_log_fleet(blocks: DataFrame, settings: DataFrame) -> DataFrame:
+    """The script pipeline for a fleet whose devices have settings of their own.
+
+    `settings` has a row per device: `channels` (array), `rate_window` in seconds, `overflow_threshold` and
+    `calculate_rate`. Blocks of other devices are left out. All windows, whatever their number, are answered
+    by one sort; where no rate is wanted, rows are kept with a NULL one and stay out of the work on it.
+    """
+    wanted = settings.select("device_id", "channels", "rate_window", "overflow_threshold", "calculate_rate")
+    joined = with_micros(blocks).join(wanted, "device_id")
+    counts = drop_unread(decode_register_block(joined, F.col("channels")).drop("channels"))
+    rated = counter_rate_open(
+        counts, F.col("rate_window"), value="count", gate=F.col("calculate_rate") & F.col("rate_window").isNotNull()
+    )
+    flagged = rated.withColumn("near_overflow", F.col("count") > F.col("overflow_threshold"))
+    return flagged.drop("rate_window", "overflow_threshold", "calculate_rate")

@@ -5,13 +5,15 @@ partition by key *and* time slice instead, so that a hot series spreads over as
 has slices, and bring in what a slice needs from outside it:
 
 * a short frame needs only the rows shortly before the slice (`with_oldest` copies them over);
-* a long or unbounded one needs one summary row per slice (`fill_forward` carries it along).
+* a long or unbounded one needs one summary row per slice (`fill_forward` carries it along), taken
+  from the rows of the same shuffle.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from countermill.vocab import DAY_US, HOUR_US
 
@@ -25,7 +27,7 @@ def with_oldest(
     df: DataFrame,
     keys: list[str],
     value: str,
-    window_us: int,
+    window_us: int | Column,
     inclusive: bool = True,
     gate: Column | None = None,
     us: str = "us",
@@ -41,13 +43,17 @@ def with_oldest(
 
     Slices as wide as the window or wider get the points they share with the next slice copied
     over. Narrower slices, the choice for windows of more than an hour, carry one summary row per
-    slice instead, so the width of the window does not limit how finely a busy series is cut.
+    slice instead, so the width of the window does not limit how finely a busy series is cut. That is
+    also the way where `window_us` is a column and every row has a window of its own: a question stands
+    at its own time less its own window, so one sort answers all of them. A NULL window is an empty one.
 
     Rows whose `gate` is false are no points and get no answer of their own.
     """
+    own_windows = isinstance(window_us, Column)
     if slice_us is None:
-        slice_us = 4 * window_us if window_us <= HOUR_US else HOUR_US
+        slice_us = 4 * window_us if not own_windows and window_us <= HOUR_US else HOUR_US
     gate = F.lit(True) if gate is None else F.coalesce(gate, F.lit(False))
+    window = F.coalesce(window_us, F.lit(0)).cast("bigint") if own_windows else F.lit(window_us).cast("bigint")
     # Only the asking copy of a row carries its other columns through the shuffle and the sort.
     needed = [*keys, us, seq, value]
 
@@ -58,7 +64,7 @@ def with_oldest(
         """A row as a point (0), a question (1) or both; `_at` is the time it stands for."""
         both, point_only, ask_only = F.array(F.lit(0), F.lit(1)), F.array(F.lit(0)), F.array(F.lit(1))
         role = F.when(F.col("_gate") & asks, both).when(F.col("_gate"), point_only).when(asks, ask_only)
-        reach = F.lit(window_us if inclusive else window_us - 1).cast("bigint")
+        reach = window - F.lit(0 if inclusive else 1)
         kept = [c for c in rows.columns if c not in df.columns]
         return rows.withColumn("_role", F.explode(role)).select(
             *slim(F.col("_role") == 1),
@@ -73,7 +79,7 @@ def with_oldest(
     )
     gated = df.withColumn("_gate", gate)
 
-    if slice_us < window_us:
+    if own_windows or slice_us < window_us:
         backwards = with_roles(gated, F.lit(True)).withColumns({"_back": -F.col("_at"), "_last": -F.col(seq)})
         found = fill_forward(backwards, keys, {"_found": point}, ["_back", "_role", "_last"], slice_us=slice_us)
     else:
@@ -99,6 +105,31 @@ def with_oldest(
     )
 
 
+def by_key_and_slice(df: DataFrame, keys: list[str], us: str, slice_us: int) -> DataFrame:
+    """Rows with `_key`, the key columns as one value that is never null, in their place, and `_slice`."""
+    rest = [c for c in df.columns if c not in keys]
+    return df.select(F.struct(*keys).alias("_key"), *rest, slice_start(F.col(us), slice_us).alias("_slice"))
+
+
+def whole_row_order(df: DataFrame, order: list[str]) -> list[Column]:
+    """An order by these columns, ties by the rest of the row as far as it can be compared.
+
+    It settles ties the same way every time, and it makes a window over the rows need all of them:
+    plans that read the rows twice then ask their shuffle for the same columns, and Spark makes it once.
+    """
+    settled = {*order, "_key", "_slice"}
+    rest = [f.name for f in df.schema.fields if f.name not in settled and _comparable(f.dataType)]
+    return [*map(F.col, order), *map(F.col, rest)]
+
+
+def _comparable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return all(_comparable(f.dataType) for f in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return _comparable(kind.elementType)
+    return not isinstance(kind, (T.MapType, T.VariantType))
+
+
 def fill_forward(
     df: DataFrame,
     keys: list[str],
@@ -106,43 +137,41 @@ def fill_forward(
     order: list[str] = ["us", "seq"],
     inclusive: bool = True,
     slice_us: int = DAY_US,
+    keep_slice: bool = False,
 ) -> DataFrame:
     """Add, per name, the last non-null value of a column at (or strictly before) each row.
 
-    The first name in `order` must be the time in microseconds. Within a slice this is a running
-    window; the value that enters a slice comes from one summary row per slice, which map-side
-    aggregation builds and a second, short window carries along.
-    """
-    at = F.struct(*order)
-    cut = df.withColumn("_slice", slice_start(F.col(order[0]), slice_us))
-    # A row without a time stays, and passes nothing on.
-    timed = F.col(order[0]).isNotNull()
-    cut = cut.select("*", *[F.when(timed, c).alias(f"_v_{n}") for n, c in columns.items()])
-
-    ends = cut.groupBy(*keys, "_slice").agg(
-        *[
-            F.max_by(F.struct(F.col(f"_v_{n}").alias("v")), F.when(F.col(f"_v_{n}").isNotNull(), at)).alias(f"_e_{n}")
-            for n in columns
-        ]
-    )
-    earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    entering = ends.select(
-        *keys, "_slice", *[F.last(f"_e_{n}", ignorenulls=True).over(earlier).alias(f"_in_{n}") for n in columns]
-    )
+    The first name in `order` must be the time in microseconds. The rows are shuffled once, by key and
+    time slice, and put into order by a running window. The last row of a slice holds what the slice
+    passes on, so its summary comes from the same sorted rows without moving them again; one summary row
+    per slice is carried along by a short window and joined back to its slice.
 
-    upto = Window.partitionBy(*keys, "_slice").orderBy(*order)
-    frame = upto.rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1)
-    inside = cut.select(
-        "*",
-        *[
-            F.last(F.when(F.col(f"_v_{n}").isNotNull(), F.struct(F.col(f"_v_{n}").alias("v"))), ignorenulls=True)
-            .over(frame)
-            .alias(f"_s_{n}")
-            for n in columns
-        ],
+    Rows without a time stay, get nothing and pass nothing on. Null keys are keys of their own. With
+    `keep_slice` the rows keep `_key` and `_slice`, and work by them goes on without another shuffle.
+    """
+    cut = by_key_and_slice(df, keys, order[0], slice_us)
+    timed = F.col("_slice").isNotNull()
+    values = {n: F.when(timed & c.isNotNull(), F.struct(c.alias("v"))).alias(f"_v_{n}") for n, c in columns.items()}
+    spread = cut.select("*", *values.values()).repartition("_key", "_slice")
+
+    in_slice = Window.partitionBy("_key", "_slice").orderBy(*whole_row_order(spread, order))
+    upto = in_slice.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = upto if inclusive else in_slice.rowsBetween(Window.unboundedPreceding, -1)
+    carried = {n: F.last(f"_v_{n}", ignorenulls=True) for n in columns}
+    inside = spread.select("*", *[value.over(before).alias(f"_s_{n}") for n, value in carried.items()])
+
+    last_rows = spread.select(
+        "_key",
+        "_slice",
+        F.lead(F.lit(True)).over(in_slice).alias("_more"),
+        *[value.over(upto).alias(f"_e_{n}") for n, value in carried.items()],
+    ).filter(F.col("_more").isNull())
+    earlier = Window.partitionBy("_key").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    entering = last_rows.select(
+        "_key", "_slice", *[F.last(f"_e_{n}", ignorenulls=True).over(earlier).alias(f"_in_{n}") for n in columns]
     )
-    joined = inside.join(entering, [*keys, "_slice"], "left")
-    return joined.select(
-        *[c for c in df.columns if c not in columns],
+    return inside.join(entering, ["_key", "_slice"], "left").select(
+        *[F.col("_key")[c].alias(c) if c in keys else F.col(c) for c in df.columns if c not in columns],
+        *(["_key", "_slice"] if keep_slice else []),
         *[F.coalesce(F.col(f"_s_{n}"), F.col(f"_in_{n}"))["v"].alias(n) for n in columns],
     )

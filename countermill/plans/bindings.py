@@ -11,11 +11,13 @@ work of every query grows with the tables it reads. `oracle.py` states the same
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from countermill.session import require_utc
+from countermill.session import require_utc, work_folder
 from countermill.sources.polls import read_register_log, stream_register_log
 
 EVENTS_SCHEMA = T.StructType(
@@ -89,6 +91,52 @@ def event_polls_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def faulty_poll_files(spark: SparkSession, sf_dir: str) -> str:
+    """The poll log as files of JSON lines in the shared folder; some lines are cut off, and some polls
+    have no device, no channel or no time."""
+    n = F.col("seq")
+    polls = event_polls(spark, sf_dir).select(
+        F.when(n % 43 != 7, F.col("device_id")).alias("device_id"),
+        F.when(n % 59 != 8, F.col("channel")).alias("channel"),
+        "registers",
+        F.when(n % 47 != 9, F.col("ts")).alias("ts"),
+        "success",
+        "acquisition_us",
+        "error",
+        "seq",
+    )
+    line = F.to_json(F.struct(*polls.columns), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"})
+    cut = F.expr("substring(line, 1, length(line) - 6)")
+    lines = polls.select("seq", line.alias("line")).select(F.when(n % 41 == 3, cut).otherwise(F.col("line")))
+    folder = work_folder(spark, "polls")
+    lines.write.text(folder)
+    return folder
+
+
+ARRIVALS = 3
+TEN_DAYS_US = 864000000000
+
+
+def arrivals(spark: SparkSession, sf_dir: str, folder: str, late: bool = False) -> Iterator[int]:
+    """The event log as it comes in: ten days at a time are written to the folder, then it is the caller's
+    turn to run a stream. With `late`, one event in 97 arrives up to twenty days behind."""
+    events = _table(spark, sf_dir, "events").select(*EVENTS_SCHEMA.names)
+    due = F.floor((_us("ts") - F.lit(START_US)) / F.lit(TEN_DAYS_US))
+    if late:
+        due = due + F.when(F.col("event_id") % 97 == 5, F.lit(2)).otherwise(F.lit(0))
+    for n in range(ARRIVALS):
+        events.filter(F.least(due, F.lit(ARRIVALS - 1)) == n).write.mode("append").parquet(folder)
+        yield n
+
+
+def arrived_events(spark: SparkSession, folder: str) -> DataFrame:
+    return require_utc(spark).readStream.schema(EVENTS_SCHEMA).option("maxFilesPerTrigger", 64).parquet(folder)
+
+
+def arrived_polls(spark: SparkSession, folder: str) -> DataFrame:
+    return stream_register_log(spark, folder, schema=EVENTS_SCHEMA, mapping=event_polls_mapping())
+
+
 def event_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Block reads of four channels; one in ten is a word short of its last channel."""
     low, high = _words(_counter())
@@ -106,6 +154,19 @@ def event_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def block_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Options of the script pipeline per customer device: windows of six hours to two days, two thresholds,
+    no rate for one in seven, two channels for one in five."""
+    k = F.col("c_custkey")
+    return _table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("DEV_"), k).alias("device_id"),
+        F.when(k % 5 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(*map(F.lit, range(4)))).alias("channels"),
+        F.when(k % 3 == 0, F.lit(21600)).when(k % 3 == 1, F.lit(86400)).otherwise(F.lit(172800)).alias("rate_window"),
+        F.when(k % 2 == 0, F.lit(4200000000)).otherwise(F.lit(4000000000)).alias("overflow_threshold"),
+        (k % 7 != 3).alias("calculate_rate"),
+    )
+
+
 def lineitem_polls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Polls of the second fleet: a cycle is a ship date, a channel a line number."""
     items = _table(spark, sf_dir, "lineitem")
@@ -209,8 +270,12 @@ def config_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lifecycle_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The event log as health events: sign-ups change the fleet, the others are reads."""
     events = require_utc(spark).read.schema(EVENTS_SCHEMA).parquet(f"{sf_dir}/events.parquet")
+    return lifecycle_of(events)
+
+
+def lifecycle_of(events: DataFrame) -> DataFrame:
+    """The event log as health events: sign-ups change the fleet, the others are reads."""
     turn = F.col("event_id") % 4
     change = (
         F.when(turn == 0, F.lit("add"))
@@ -304,34 +369,46 @@ def rule_fleets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def config_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A JSON configuration document per supplier, as text; some settings are left out."""
+    """A JSON configuration document per supplier, as text; some settings are left out, some have another
+    type than they should, and the threshold tag is a number, a quoted number or a word."""
     k = F.col("s_suppkey")
+    limit = F.when(k % 3 == 0, F.lit("1000000")).when(k % 3 == 1, F.lit('"often"')).otherwise(F.lit("2000000"))
 
     def channel(n: int) -> Column:
         return F.struct(
             F.lit(n).alias("ChannelNumber"),
             F.concat(F.lit(f"Part_{n}_"), k).alias("Name"),
             F.when(k % 2 == 0, F.lit(0.5)).alias("ScaleFactor"),
+            F.when(k % 13 == 5, F.lit("no")).alias("Enabled"),
             (k * 10 + n).alias("MaxValue"),
-            F.create_map(
-                F.lit("overflow_threshold"),
-                F.when(k % 3 == 0, F.lit("1000000")).when(k % 3 == 1, F.lit("often")).otherwise(F.lit("2000000")),
-            ).alias("Tags"),
+            F.struct(F.parse_json(F.when(k % 7 == 2, F.lit('"5000"')).otherwise(limit)).alias("overflow_threshold")).alias("Tags"),
         )
 
     device = F.struct(
         F.concat(F.lit("SUP_"), k).alias("DeviceId"),
         F.concat(F.lit("10.1.0."), (k % 250).cast("string")).alias("IpAddress"),
-        F.when(k % 4 == 0, F.lit(5020)).alias("Port"),
+        F.when(k % 4 == 0, F.lit("5020")).when(k % 11 == 3, F.lit("abc")).alias("Port"),
         F.create_map(F.lit("location"), F.concat(F.lit("nation_"), F.col("s_nationkey"))).alias("Tags"),
         F.array(channel(0), channel(1)).alias("Channels"),
     )
     body = F.struct(
         F.concat(F.lit("FLEET_"), k).alias("FleetId"),
-        F.lit(1000).alias("PollIntervalMs"),
+        F.when(k % 19 == 7, F.lit(50)).otherwise(F.lit(1000)).alias("PollIntervalMs"),
+        F.when(k % 17 == 4, F.lit(2.5)).alias("BatchSize"),
         F.array(device).alias("Devices"),
     )
-    return _table(spark, sf_dir, "supplier").select(F.to_json(F.struct(body.alias("AdamLogger"))).alias("document"))
+    text = F.to_json(F.struct(body.alias("AdamLogger")))
+    # One document in 23 is cut off before its end.
+    cut = F.expr("substring(document, 1, length(document) - 3)")
+    documents = _table(spark, sf_dir, "supplier").select("s_suppkey", text.alias("document"))
+    return documents.select(F.when(F.col("s_suppkey") % 23 == 6, cut).otherwise(F.col("document")).alias("document"))
+
+
+def config_files(spark: SparkSession, sf_dir: str) -> str:
+    """The documents as files of lines in the shared folder."""
+    folder = work_folder(spark, "config")
+    config_documents(spark, sf_dir).write.text(folder)
+    return folder
 
 
 def script_configs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,11 +17,14 @@ from countermill.functions import registers as R
 from countermill.functions import scaling as S
 from countermill.functions import tags as G
 from countermill.operators import config_rules, filters, health, hooks, joins, rates, readings, rollups
+from countermill.operators.slices import slice_start
 from countermill.plans import bindings as B
 from countermill.session import work_folder
-from countermill.sources import device_config, sinks
+from countermill.sources import device_config, polls, sinks
 from countermill.streaming.health import stream_health as run_stream_health
-from countermill.streaming.delivery import batch_writer, fan_out as run_fan_out, replay
+from countermill.streaming.delivery import batch_writer, closed_windows, committed, replay, write_windows
+from countermill.streaming.delivery import fan_out as run_fan_out
+from countermill.streaming.delivery import late_rows as read_late_rows
 from countermill.streaming.delivery import stream_process as run_stream_process
 from countermill.streaming.rates import stream_rate as run_stream_rate
 
@@ -143,6 +146,26 @@ def read_register_log(spark, sf):
     )
 
 
+@query
+def rejected_polls(spark, sf):
+    """Polls from JSON lines, and the lines that are none, by their number where it can be read."""
+    found = polls.judged_register_log(spark, B.faulty_poll_files(spark, sf), "json")
+    number = F.get_json_object("record", "$.seq").cast("bigint")
+    kept = polls.accepted(found).select(F.lit("").alias("reason"), "seq", "us")
+    return kept.unionByName(
+        polls.rejected(found).select("reason", F.when(F.col("reason") != "corrupt_record", number).alias("seq")),
+        allowMissingColumns=True,
+    )
+
+
+@query
+def rejected_events(spark, sf):
+    """Health events of which some have no time: those that are folded, and those that cannot be."""
+    events = B.lifecycle_log(spark, sf).withColumn("us", F.when(F.col("seq") % 61 != 4, F.col("us")))
+    folded = health.health_epochs(events, start_us=B.START_US).select("device_id", "us", "seq", F.lit("").alias("reason"))
+    return folded.unionByName(health.rejected_events(events).select("device_id", "us", "seq", "reason"))
+
+
 @query
 def stream_register_log(spark, sf):
     stream = B.event_polls_stream(spark, sf).select(
@@ -153,8 +176,8 @@ def stream_register_log(spark, sf):
 
 @query
 def load_device_config(spark, sf):
-    documents = device_config.parse_config_documents(B.config_documents(spark, sf), "document")
-    devices, channels = device_config.devices_of(documents), device_config.channels_of(documents)
+    """Documents as files of lines; one that is no JSON has no rows, a mistyped setting has its default."""
+    devices, channels = device_config.load_device_config(spark, B.config_files(spark, sf), lines=True)
     return devices.withColumn("location", F.try_element_at("tags", F.lit("location"))).select(
         "fleet_id", "device_id", "ip_address", "port", "unit_id", "timeout_ms", "location"
     ).join(
@@ -165,6 +188,7 @@ def load_device_config(spark, sf):
             "scale_factor",
             "unit",
             "register_count",
+            "enabled",
             "max_value",
             "overflow_threshold",
             "overflow_check",
@@ -173,6 +197,14 @@ def load_device_config(spark, sf):
     )
 
 
+@query
+def document_findings(spark, sf):
+    """Documents that are no JSON, and settings that do not have their type."""
+    found = device_config.document_findings(spark, B.config_files(spark, sf), lines=True)
+    named = F.when(F.col("rule") != "malformed_document", F.col("fleet_id"))
+    return _violations(found).withColumn("fleet_id", named)
+
+
 @query
 def apply_config_defaults(spark, sf):
     merged = device_config.apply_config_defaults(B.script_configs(spark, sf), device_config.SCRIPT_DEFAULTS)
@@ -184,8 +216,6 @@ def apply_config_defaults(spark, sf):
         F.array_join(F.col("counters.channels"), ",").alias("channels"),
         F.col("counters.rate_window").cast("bigint").alias("rate_window"),
         "counters.overflow_threshold",
-        "influxdb.database",
-        "logging.poll_interval",
         F.col("device.location").alias("location"),
     )
 
@@ -439,8 +469,8 @@ def grade_quality(spark, sf):
 
 @query
 def overflow_threshold(spark, sf):
-    documents = device_config.parse_config_documents(B.config_documents(spark, sf), "document")
-    return device_config.channels_of(documents).select("device_id", "channel", "overflow_threshold", "overflow_check")
+    _, channels = device_config.load_device_config(spark, B.config_files(spark, sf), lines=True)
+    return channels.select("device_id", "channel", "overflow_threshold", "overflow_check")
 
 
 @query
@@ -561,6 +591,14 @@ def health_epochs(spark, sf):
 
 @query
 def cycle_overrun(spark, sf):
+    """Rounds of a week, in which every device takes its polls by its own clock."""
+    weeks = slice_start(F.col("us"), 7 * DAY * 1000000)
+    return rollups.cycle_overrun(B.lineitem_polls(spark, sf), 600, weeks)
+
+
+@query
+def cycle_overrun_shared(spark, sf):
+    """Polls of one time are one round."""
     return rollups.cycle_overrun(B.lineitem_polls(spark, sf), 120)
 
 
@@ -676,6 +714,13 @@ def validate_fleet(spark, sf):
 
 @query
 def config_gate(spark, sf):
+    """Devices of documents without any finding: of the rules, of types, or of the document as a whole."""
+    devices, _, _ = device_config.gated_config(spark, B.config_files(spark, sf), lines=True)
+    return devices.select("fleet_id", "device_id", "ip_address")
+
+
+@query
+def device_gate(spark, sf):
     """Devices whose own and channel settings have no finding."""
     devices, channels = B.rule_devices(spark, sf).drop("fleet_id"), B.rule_channels(spark, sf)
     return config_rules.config_gate(devices, config_rules.validate_devices(devices, channels)).select(
@@ -686,94 +731,122 @@ def config_gate(spark, sf):
 # ---------------------------------------------------------------- streams
 
 
+def _replayed(spark, sf, shape, mode="append", keys=None, source=B.arrived_polls):
+    """A stream run three times from one checkpoint, after each part of the log that arrives."""
+    folder = work_folder(spark, "stream")
+    for _ in B.arrivals(spark, sf, f"{folder}/in"):
+        result = replay(shape(source(spark, f"{folder}/in")), f"{folder}/run", mode, keys)
+    return result
+
+
 @query
 def stream_process(spark, sf):
-    stream = run_stream_process(
-        B.event_polls_stream(spark, sf), B.fleet_channels(spark, sf), window_seconds=DAY, with_tags=False
+    channels = B.fleet_channels(spark, sf)
+    return _replayed(
+        spark,
+        sf,
+        lambda polls: run_stream_process(polls, channels, window_seconds=DAY, with_tags=False).select(*READING_COLUMNS),
     )
-    return replay(stream.select(*READING_COLUMNS), work_folder(spark, "stream-process"))
 
 
 @query
 def stream_rate(spark, sf):
-    stream = filters.successful_polls(B.event_polls_stream(spark, sf)).select(
-        "device_id", "channel", "us", "seq", R.decode_registers(F.col("registers")).alias("raw_value")
-    )
-    counted = stream.filter(F.col("raw_value").isNotNull())
-    rated = run_stream_rate(counted, DAY, gate=None)
-    return replay(rated, work_folder(spark, "stream-rate"))
+    def rated(polls):
+        counters = filters.successful_polls(polls).select(
+            "device_id", "channel", "us", "seq", R.decode_registers(F.col("registers")).alias("raw_value")
+        )
+        return run_stream_rate(counters.filter(F.col("raw_value").isNotNull()), DAY, gate=None)
+
+    return _replayed(spark, sf, rated)
 
 
 @query
 def stream_health(spark, sf):
-    events = B.event_polls_stream(spark, sf).select(
-        "device_id",
-        (F.col("us") + F.col("acquisition_us")).alias("us"),
-        "seq",
-        F.lit("read").alias("kind"),
-        "success",
-        "error",
-    )
-    folded = replay(run_stream_health(events, start_us=B.START_US), work_folder(spark, "stream-health"), "update")
-    return folded.select(*HEALTH_COLUMNS)
+    """Reads and probes, with devices that are updated, removed and added again on the way."""
+
+    def folded(events):
+        return run_stream_health(B.lifecycle_of(events), start_us=B.START_US)
+
+    return _replayed(spark, sf, folded, "update", source=B.arrived_events).select(*HEALTH_COLUMNS)
 
 
 @query
 def tumbling_buffer(spark, sf):
-    rows = rollups.tumbling_buffer(B.event_polls_stream(spark, sf).select("device_id", "seq", "ts"), "1 minute")
-    return _micros(replay(rows, work_folder(spark, "buffer"))).select("device_id", "seq", "window_start", "window_end")
+    buffers = _replayed(
+        spark, sf, lambda polls: rollups.tumbling_buffer(polls.select("device_id", "seq", "ts"), "1 minute")
+    )
+    return _micros(buffers).select("device_id", "seq", "window_start", "window_end")
 
 
 @query
 def tumbling_window(spark, sf):
-    rows = B.event_polls_stream(spark, sf)
-    totals = rollups.tumbling_window(
-        rows, [F.count(F.lit(1)).alias("polls"), F.count_if("success").alias("ok")], "1 hour", ["device_id"]
-    )
-    return _micros(replay(totals, work_folder(spark, "window"), "complete")).select(
-        "window_start", "window_end", "device_id", "polls", "ok"
-    )
+    def totals(polls):
+        aggregates = [F.count(F.lit(1)).alias("polls"), F.count_if("success").alias("ok")]
+        return rollups.tumbling_window(rollups.late_data(polls, "1 hour"), aggregates, "1 hour", ["device_id"])
+
+    keys = ["window_start", "window_end", "device_id"]
+    return _micros(_replayed(spark, sf, totals, "update", keys)).select(*keys, "polls", "ok")
 
 
 @query
 def sample_latest(spark, sf):
-    rows = B.event_polls_stream(spark, sf).select("device_id", "channel", "us", "seq", "ts")
-    latest = rollups.sample_latest(rows, "1 second").drop("ts")
-    return _micros(replay(latest, work_folder(spark, "sample"), "complete")).select(
-        "window_start", "window_end", "device_id", "channel", "us", "seq"
-    )
+    def latest(polls):
+        rows = polls.select("device_id", "channel", "us", "seq", "ts")
+        return rollups.sample_latest(rollups.late_data(rows, "1 hour"), "1 second").drop("ts")
+
+    keys = ["window_start", "window_end"]
+    return _micros(_replayed(spark, sf, latest, "update", keys)).select(*keys, "device_id", "channel", "us", "seq")
 
 
 @query
 def group_stream(spark, sf):
-    rows = filters.successful_polls(B.event_polls_stream(spark, sf)).withColumn(
-        "raw_value", R.decode_registers(F.col("registers"))
-    )
-    totals = rollups.group_stream(rows.filter(F.col("raw_value").isNotNull()), ["device_id"])
-    return replay(totals, work_folder(spark, "group"), "complete").select("device_id", "readings", "last_us", "last_raw")
+    def totals(polls):
+        rows = filters.successful_polls(polls).withColumn("raw_value", R.decode_registers(F.col("registers")))
+        return rollups.group_stream(rows.filter(F.col("raw_value").isNotNull()), ["device_id"])
+
+    return _replayed(spark, sf, totals, "update", ["device_id"]).select("device_id", "readings", "last_us", "last_raw")
 
 
 @query
 def fan_out(spark, sf):
     """Two subscribers on one stream: all failures, and the number of polls per device."""
     folder = work_folder(spark, "fan-out")
-    stream = B.event_polls_stream(spark, sf).select("device_id", "seq", "success")
+    log = f"{folder}/commits"
     writers = {
         "failures": batch_writer(f"{folder}/failures", lambda df: df.filter(~F.col("success"))),
         "counts": batch_writer(f"{folder}/counts", lambda df: df.groupBy("device_id").agg(F.count(F.lit(1)).alias("n"))),
     }
-    run_fan_out(stream, writers, f"{folder}/checkpoint").awaitTermination()
-    failures = spark.read.parquet(f"{folder}/failures").groupBy("device_id").agg(F.count(F.lit(1)).alias("failures"))
-    counts = spark.read.parquet(f"{folder}/counts").groupBy("device_id").agg(F.sum("n").alias("polls"))
+    for _ in B.arrivals(spark, sf, f"{folder}/in"):
+        stream = B.arrived_polls(spark, f"{folder}/in").select("device_id", "seq", "success")
+        run_fan_out(stream, writers, f"{folder}/checkpoint", log=log).awaitTermination()
+    failures = committed(spark, f"{folder}/failures", log).groupBy("device_id").agg(F.count(F.lit(1)).alias("failures"))
+    counts = committed(spark, f"{folder}/counts", log).groupBy("device_id").agg(F.sum("n").alias("polls"))
     return counts.join(failures, "device_id", "left")
 
 
+def _late_windows(spark, sf):
+    """Hourly counts of a log whose events come late now and then; the folder that holds them."""
+    folder = work_folder(spark, "late")
+    for _ in B.arrivals(spark, sf, f"{folder}/in", late=True):
+        polls = B.arrived_polls(spark, f"{folder}/in").select("device_id", "seq", "us")
+        partials = {"polls": F.count(F.lit(1))}
+        write_windows(polls, f"{folder}/out", f"{folder}/checkpoint", 3600, partials, 3600).awaitTermination()
+    return f"{folder}/out"
+
+
 @query
 def late_data(spark, sf):
-    """Hourly counts in append mode: only hours that the watermark has closed come out."""
-    rows = rollups.late_data(B.event_polls_stream(spark, sf).select("device_id", "ts"), "1 hour")
-    hours = rollups.tumbling_window(rows, [F.count(F.lit(1)).alias("polls")], "1 hour")
-    return _micros(replay(hours, work_folder(spark, "late"))).select("window_start", "window_end", "polls")
+    """Hourly counts that the watermark has closed."""
+    hours = closed_windows(spark, _late_windows(spark, sf), {"polls": F.sum("polls")}, 3600, 3600)
+    return hours.select(
+        F.col("window_us").alias("window_start"), (F.col("window_us") + 3600000000).alias("window_end"), "polls"
+    )
+
+
+@query
+def late_rows(spark, sf):
+    """The polls that came after their hour had been closed."""
+    return read_late_rows(spark, _late_windows(spark, sf)).select("device_id", "seq", "us")
 
 
 # ---------------------------------------------------------------- extension points
@@ -838,3 +911,9 @@ def read_and_log(spark, sf):
         B.event_blocks(spark, sf), [0, 1, 2, 3], window_seconds=DAY, overflow_threshold=4200000000
     )
     return rows.select("device_id", "channel", "us", "seq", "count", "rate", "near_overflow")
+
+
+@query
+def read_and_log_fleet(spark, sf):
+    rows = readings.read_and_log_fleet(B.event_blocks(spark, sf), B.block_settings(spark, sf))
+    return rows.select("device_id", "channel", "us", "seq", "count", "rate", "near_overflow")

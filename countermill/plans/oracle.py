@@ -379,10 +379,28 @@ sql(
            'nation_' || CAST(s_nationkey AS VARCHAR) AS location, n AS channel,
            'Part_' || CAST(n AS VARCHAR) || '_' || CAST(s_suppkey AS VARCHAR) AS name,
            CAST(CASE WHEN s_suppkey % 2 = 0 THEN 0.5 ELSE 1.0 END AS DOUBLE) AS scale_factor, 'counts' AS unit,
-           2 AS register_count, s_suppkey * 10 + n AS max_value,
-           CASE s_suppkey % 3 WHEN 0 THEN 1000000 WHEN 1 THEN 4294000000 ELSE 2000000 END AS overflow_threshold,
-           s_suppkey % 3 <> 1 AS overflow_check
-    FROM supplier CROSS JOIN (SELECT CAST(unnest(range(2)) AS INTEGER) AS n)""",
+           2 AS register_count, true AS enabled, s_suppkey * 10 + n AS max_value,
+           CASE WHEN s_suppkey % 3 = 1 OR s_suppkey % 7 = 2 THEN 4294000000 WHEN s_suppkey % 3 = 0 THEN 1000000 ELSE 2000000 END
+             AS overflow_threshold,
+           s_suppkey % 3 <> 1 AND s_suppkey % 7 <> 2 AS overflow_check
+    FROM supplier CROSS JOIN (SELECT CAST(unnest(range(2)) AS INTEGER) AS n) WHERE s_suppkey % 23 <> 6""",
+)
+sql(
+    "document_findings",
+    "",
+    """
+    WITH whole AS (SELECT s_suppkey AS k, 'FLEET_' || s_suppkey AS fleet_id, 'SUP_' || s_suppkey AS device_id
+                   FROM supplier WHERE s_suppkey % 23 <> 6)
+    SELECT level, 'document' AS stage, fleet_id, device_id, channel, rule, message, members FROM (
+      SELECT 'fleet' AS level, NULL AS fleet_id, NULL AS device_id, CAST(NULL AS INTEGER) AS channel, 'malformed_document' AS rule,
+             'The configuration document is not valid JSON' AS message, '' AS members
+      FROM supplier WHERE s_suppkey % 23 = 6
+      UNION ALL SELECT 'fleet', fleet_id, NULL, NULL, 'mistyped_setting',
+                       'The value of BatchSize does not have its type: 2.5', 'BatchSize' FROM whole WHERE k % 17 = 4
+      UNION ALL SELECT 'device', fleet_id, device_id, NULL, 'mistyped_setting',
+                       'The value of Port does not have its type: abc', 'Port' FROM whole WHERE k % 4 <> 0 AND k % 11 = 3
+      UNION ALL SELECT 'channel', fleet_id, device_id, CAST(unnest([0, 1]) AS INTEGER), 'mistyped_setting',
+                       'The value of Enabled does not have its type: no', 'Enabled' FROM whole WHERE k % 13 = 5)""",
 )
 sql(
     "apply_config_defaults",
@@ -391,7 +409,7 @@ sql(
     SELECT device_id, CASE WHEN k % 2 = 0 THEN '10.2.0.' || CAST(k % 250 AS VARCHAR) ELSE '192.168.1.100' END AS host,
            CASE WHEN k % 3 = 0 THEN k % 7 ELSE 3 END AS retries, 502 AS port, array_to_string(channels, ',') AS channels,
            CAST(CASE WHEN k % 4 <> 0 AND k % 5 = 0 THEN 30 ELSE 60 END AS BIGINT) AS rate_window,
-           4294967000 AS overflow_threshold, 'adam_counters' AS database, CAST(5.0 AS DOUBLE) AS poll_interval,
+           4294967000 AS overflow_threshold,
            'default' AS location
     FROM scripts""",
 )
@@ -544,9 +562,10 @@ sql(
     "",
     """
     SELECT 'SUP_' || CAST(s_suppkey AS VARCHAR) AS device_id, n AS channel,
-           CASE s_suppkey % 3 WHEN 0 THEN 1000000 WHEN 1 THEN 4294000000 ELSE 2000000 END AS overflow_threshold,
-           s_suppkey % 3 <> 1 AS overflow_check
-    FROM supplier CROSS JOIN (SELECT CAST(unnest(range(2)) AS INTEGER) AS n)""",
+           CASE WHEN s_suppkey % 3 = 1 OR s_suppkey % 7 = 2 THEN 4294000000 WHEN s_suppkey % 3 = 0 THEN 1000000 ELSE 2000000 END
+             AS overflow_threshold,
+           s_suppkey % 3 <> 1 AND s_suppkey % 7 <> 2 AS overflow_check
+    FROM supplier CROSS JOIN (SELECT CAST(unnest(range(2)) AS INTEGER) AS n) WHERE s_suppkey % 23 <> 6""",
 )
 sql(
     "grade_quality_custom",
@@ -679,13 +698,21 @@ sql(
     WINDOW w AS (PARTITION BY device_id, epoch ORDER BY us, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
 )
 sql(
-    "cycle_overrun",
+    "cycle_overrun_shared",
     "items",
     """
     SELECT us, CAST(max(device_us) AS BIGINT) AS cycle_us, count(*) AS devices
     FROM (SELECT us, device_id, sum(acquisition_us) AS device_us FROM items GROUP BY ALL)
     GROUP BY us HAVING max(device_us) > 120000""",
 )
+sql(
+    "cycle_overrun",
+    "items",
+    """
+    SELECT week AS us, CAST(max(device_us) AS BIGINT) AS cycle_us, count(*) AS devices
+    FROM (SELECT us // 604800000000 * 604800000000 AS week, device_id, sum(acquisition_us) AS device_us FROM items GROUP BY ALL)
+    GROUP BY week HAVING max(device_us) > 600000""",
+)
 sql(
     "poll_gaps",
     "items",
@@ -803,6 +830,15 @@ sql(
 )
 sql(
     "config_gate",
+    "",
+    """
+    SELECT 'FLEET_' || s_suppkey AS fleet_id, 'SUP_' || s_suppkey AS device_id, '10.1.0.' || (s_suppkey % 250) AS ip_address
+    FROM supplier
+    WHERE s_suppkey % 23 <> 6 AND s_suppkey % 17 <> 4 AND s_suppkey % 13 <> 5 AND s_suppkey % 19 <> 7
+          AND (s_suppkey % 4 = 0 OR s_suppkey % 11 <> 3)""",
+)
+sql(
+    "device_gate",
     "device_findings",
     """
     SELECT device_id, ip_address FROM rule_devices
@@ -813,11 +849,20 @@ sql(
 
 sql("stream_process", "readings", f"SELECT {READING_LIST} FROM readings")
 sql("stream_rate", "crated", f"SELECT {RATE_LIST} FROM crated")
-CTES["checks_reads"] = "SELECT * FROM reads"
-NEEDS["checks_reads"] = ["reads"]
-CTES["read_health"] = CTES["health"].replace("FROM checks", "FROM checks_reads")
-NEEDS["read_health"] = ["checks_reads"]
-sql("stream_health", "read_health", f"SELECT {HEALTH_LIST} FROM read_health")
+SQL["stream_health"] = SQL["health_epochs"]
+SQL["rejected_events"] = f"""
+    SELECT device_id, us, seq, '' AS reason
+    FROM ({SQL["health_epochs"].replace("FROM log)", "FROM log WHERE seq % 61 <> 4)")})
+    UNION ALL SELECT 'DEV_' || CAST(user_id AS VARCHAR), NULL, event_id, 'no_time' FROM events WHERE event_id % 61 = 4"""
+sql(
+    "rejected_polls",
+    "polls",
+    """
+    SELECT reason, CASE WHEN reason <> 'corrupt_record' THEN seq END AS seq, CASE WHEN reason = '' THEN us END AS us
+    FROM (SELECT *, CASE WHEN seq % 41 = 3 THEN 'corrupt_record' WHEN seq % 43 = 7 THEN 'no_device'
+                         WHEN seq % 59 = 8 THEN 'no_channel' WHEN seq % 47 = 9 THEN 'no_time' ELSE '' END AS reason
+          FROM polls)""",
+)
 sql("tumbling_buffer", "polls", f"SELECT device_id, seq, {_slot('us', 60)} FROM polls")
 sql(
     "tumbling_window",
@@ -846,13 +891,26 @@ sql(
     SELECT device_id, CAST(count(*) AS BIGINT) AS polls, nullif(count(*) FILTER (NOT success), 0) AS failures
     FROM polls GROUP BY device_id""",
 )
+# The log arrives ten days at a time, one event in 97 up to two parts late; an hour is closed when it ended an
+# hour before the newest event of the parts before.
+CTES["arrived"] = f"""
+        SELECT *, us // 3600000000 * 3600000000 AS window_us,
+               least(2, (us - {START_US}) // 864000000000 + CASE WHEN seq % 97 = 5 THEN 2 ELSE 0 END) AS part FROM polls"""
+CTES["judged"] = """
+        SELECT a.*, window_us + 3600000000 <= m.mark AS late
+        FROM arrived a LEFT JOIN (
+          SELECT p.part, max(b.us) - 3600000000 AS mark
+          FROM (SELECT DISTINCT part FROM arrived) p JOIN arrived b ON b.part < p.part GROUP BY p.part) m USING (part)"""
+NEEDS["arrived"] = ["polls"]
+NEEDS["judged"] = ["arrived"]
 sql(
     "late_data",
-    "polls",
-    f"""
-    SELECT * FROM (SELECT {_slot('us', 3600)}, count(*) AS polls FROM polls GROUP BY ALL)
-    WHERE window_end <= (SELECT max(us) // 1000 * 1000 - 3600000000 FROM polls)""",
+    "judged",
+    """
+    SELECT window_us AS window_start, window_us + 3600000000 AS window_end, count(*) AS polls FROM judged
+    WHERE late IS NOT TRUE AND window_us + 3600000000 <= (SELECT max(us) - 3600000000 FROM judged) GROUP BY window_us""",
 )
+sql("late_rows", "judged", "SELECT device_id, seq, us FROM judged WHERE late")
 
 # ---------------------------------------------------------------- extension points
 
@@ -891,3 +949,19 @@ sql(
     "brated",
     "SELECT device_id, channel, us, seq, count, rate, count > 4200000000 AS near_overflow FROM brated",
 )
+OLDEST_IN = """min(CASE WHEN wanted THEN struct_pack(us := us, seq := seq, raw := count) END) OVER (
+                  PARTITION BY device_id, channel ORDER BY us RANGE BETWEEN {} PRECEDING AND CURRENT ROW)"""
+sql(
+    "read_and_log_fleet",
+    "blocks",
+    f"""
+    , settings AS (
+      SELECT 'DEV_' || CAST(c_custkey AS VARCHAR) AS device_id, c_custkey % 5 = 0 AS two, c_custkey % 3 AS w,
+             CASE WHEN c_custkey % 2 = 0 THEN 4200000000 ELSE 4000000000 END AS most, c_custkey % 7 <> 3 AS wanted
+      FROM customer)
+    SELECT device_id, channel, us, seq, count,
+           CASE WHEN wanted AND us > o.us THEN (count - o.raw) / ((us - o.us) / 1e6) END AS rate, count > most AS near_overflow
+    FROM (SELECT *, CASE w WHEN 0 THEN {OLDEST_IN.format(21600000000 - 1)} WHEN 1 THEN {OLDEST_IN.format(86400000000 - 1)}
+                           ELSE {OLDEST_IN.format(172800000000 - 1)} END AS o
+          FROM blocks JOIN settings USING (device_id) WHERE count IS NOT NULL AND (channel < 2 OR NOT two))""",
+)

@@ -1,4 +1,10 @@
-"""Counter rates over a stream, with the recent points of each series as state."""
+"""Counter rates over a stream, with state per series and time slice.
+
+A point belongs to the slice it falls into and, if a later window can reach back to it, to the slices
+after it. The home slice answers; the others only remember the point. So one busy series spreads over
+as many tasks as its micro-batch has slices, and state is bounded: a slice keeps the points that its
+windows can still reach, and a timer removes it when the watermark has passed its end.
+"""
 
 from __future__ import annotations
 
@@ -7,29 +13,43 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from countermill.operators.slices import slice_start
 from countermill.vocab import RATE_WINDOW_SECONDS, SECOND_US, UINT32_MAX
 
 STATE = "us array<bigint>, seq array<bigint>, raw array<bigint>"
 
 
-def window_rates(
-    us: np.ndarray, raw: np.ndarray, window_us: int, inclusive: bool, turn: int | None
+def rates_of(
+    at: np.ndarray, value: np.ndarray, us: np.ndarray, raw: np.ndarray, window_us: int, inclusive: bool, turn: int | None
 ) -> np.ndarray:
-    """Rates of points sorted by time and arrival: each against the first point of its window."""
-    first = np.searchsorted(us, us - window_us, side="left" if inclusive else "right")
-    change = raw - raw[first]
+    """Rates of rows (at, value), each against the first point of its window; points (us, raw) are in order
+    of time and arrival and hold the rows themselves."""
+    first = np.searchsorted(us, at - window_us, side="left" if inclusive else "right")
+    change = value - raw[first]
     if turn is not None:
         change = np.where(change < 0, change + turn, change)
-    elapsed = us - us[first]
-    rates = np.full(len(us), np.nan)
+    elapsed = at - us[first]
+    rates = np.full(len(at), np.nan)
     moved = elapsed > 0
     rates[moved] = change[moved] / (elapsed[moved] / float(SECOND_US))
     return rates
 
 
+def in_slices(rows: DataFrame, window_us: int, slice_us: int, gate: str | None) -> DataFrame:
+    """Rows once in their home slice (`_asks`) and, as points, once in every later slice whose windows reach
+    them. Only the asking copy carries the other columns. A row without a time asks and is no point."""
+    step = F.lit(slice_us).cast("bigint")
+    home = slice_start(F.col("us"), slice_us)
+    counted = F.lit(True) if gate is None else F.col(gate).isNotNull()
+    point = F.col("us").isNotNull() & counted
+    reached = F.sequence(home, slice_start(F.col("us") + F.lit(window_us), slice_us), step)
+    return rows.withColumn("_point", point).withColumn("_slice", F.explode(F.when(point, reached).otherwise(F.array(home))))
+
+
 def stream_rate(
     rows: DataFrame,
     window_seconds: int = RATE_WINDOW_SECONDS,
@@ -38,41 +58,64 @@ def stream_rate(
     value: str = "raw_value",
     gate: str | None = "processed_value",
     keys: tuple[str, ...] = ("device_id", "channel"),
-    lateness_seconds: int = 0,
+    lateness_seconds: int = RATE_WINDOW_SECONDS,
+    slice_seconds: int | None = None,
 ) -> DataFrame:
     """Add `rate` to a stream that carries `us` and `seq`.
 
-    A micro-batch is put into time order per series, so on input whose batches follow each other
-    in time the result equals the batch operator. State holds the points of one window, plus
-    `lateness_seconds` for rows that come after newer ones; the source's admission limit bounds
-    what one batch brings to a series.
+    A micro-batch is put into time order per series, so on input whose batches follow each other in time
+    the result equals the batch operator. A row may come up to `lateness_seconds` behind the newest row of
+    earlier batches, of any series, and is rated against the points that have come by then; older rows are
+    left out here, and `late_rows` keeps them. A slice is four windows wide unless `slice_seconds` says
+    otherwise; narrower ones spread a busy series further and copy each point more often.
+
+    Rows whose `gate` column is null are no points and have no rate; so have rows without a time. Null keys
+    are a series of their own.
     """
     window_us = window_seconds * SECOND_US
+    slice_us = slice_seconds * SECOND_US if slice_seconds else 4 * window_us
     keep_us = window_us + lateness_seconds * SECOND_US
     turn = None if wrap is None else {"compat": UINT32_MAX, "exact": UINT32_MAX + 1}[wrap]
     schema = T.StructType([*rows.schema.fields, T.StructField("rate", T.DoubleType())])
     columns = schema.fieldNames()
 
     def advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(frames), ignore_index=True)
-        counted = batch[gate].notna().to_numpy() if gate else np.ones(len(batch), dtype=bool)
-        old_us, old_seq, old_raw = state.get if state.exists else ([], [], [])
-        new = batch.loc[counted, ["us", "seq", value]]
-        us = np.concatenate([np.asarray(old_us, dtype="int64"), new["us"].to_numpy(dtype="int64")])
-        seq = np.concatenate([np.asarray(old_seq, dtype="int64"), new["seq"].to_numpy(dtype="int64")])
-        raw = np.concatenate([np.asarray(old_raw, dtype="int64"), new[value].to_numpy(dtype="int64")])
+        if state.hasTimedOut:
+            state.remove()
+            return
+        batch = list(frames)
+        known = state.get if state.exists else ([], [], [])
+        points = [frame.loc[frame["_point"], ["us", "seq", value]] for frame in batch]
+        us, seq, raw = (
+            np.concatenate([np.asarray(old, dtype="int64"), *(p[name].to_numpy(dtype="int64") for p in points)])
+            for old, name in zip(known, ("us", "seq", value), strict=True)
+        )
         order = np.lexsort((seq, us))
         us, seq, raw = us[order], seq[order], raw[order]
-        rates = np.empty(len(us))
-        rates[order] = window_rates(us, raw, window_us, inclusive, turn)
-        batch["rate"] = np.nan
-        batch.loc[counted, "rate"] = rates[len(old_us) :]
+        for frame in batch:
+            frame = frame[frame["_asks"]]
+            if not len(frame):
+                continue
+            counted = frame["_point"].to_numpy(dtype=bool)
+            rates = np.full(len(frame), np.nan)
+            at, now = (frame.loc[counted, name].to_numpy(dtype="int64") for name in ("us", value))
+            rates[counted] = rates_of(at, now, us, raw, window_us, inclusive, turn)
+            found = pd.Series(rates, index=frame.index).astype(object)
+            yield frame.assign(rate=found.where(~np.isnan(rates), None))[columns]
         if len(us):
             keep = us >= us[-1] - keep_us
             state.update((us[keep].tolist(), seq[keep].tolist(), raw[keep].tolist()))
-        batch["rate"] = batch["rate"].astype(object).where(batch["rate"].notna(), None)
-        yield batch[columns]
+            state.setTimeoutTimestamp((int(key[-1]) + slice_us) // 1000)
 
-    return rows.groupBy(*keys).applyInPandasWithState(
-        advance, schema, STATE, "append", GroupStateTimeout.NoTimeout
+    spread = in_slices(rows.withColumn("_time", F.timestamp_micros("us")), window_us, slice_us, gate)
+    asks = F.col("_slice").eqNullSafe(slice_start(F.col("us"), slice_us))
+    needed = {*keys, "us", "seq", value}
+    narrow = spread.select(
+        *[F.col(c) if c in needed else F.when(asks, F.col(c)).alias(c) for c in rows.columns],
+        "_time", "_point", "_slice", asks.alias("_asks"),
+    )
+    return (
+        narrow.withWatermark("_time", f"{lateness_seconds} seconds")
+        .groupBy(*keys, "_slice")
+        .applyInPandasWithState(advance, schema, STATE, "append", GroupStateTimeout.EventTimeTimeout)
     )

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -18,6 +19,8 @@ from countermill.sources.device_config import (
     devices_of,
     fleets_of,
     load_device_config,
+    document_findings,
+    gated_config,
     parse_config_documents,
     read_config_documents,
 )
@@ -260,10 +263,62 @@ def test_config_as_of(spark):
         [("d", 99, 1), ("d", 100, 2), ("d", 199, 3), ("d", 200, 4), ("d", 10**9, 5), ("f", 5, 6)],
         "device_id string, us bigint, seq bigint",
     )
-    got = config_as_of(readings, versions, slice_us=50).orderBy("seq").collect()
+    got = config_as_of(readings, versions).orderBy("seq").collect()
     assert [r["config"]["v"] if r["config"] else None for r in got] == [None, "v1", "v1", "v2", "v2", None]
 
 
+@pytest.mark.parametrize("run", [1, 3, 16])
+def test_config_as_of_many_versions(spark, run):
+    """Runs of versions, versions that start at one time, null keys and readings without a time."""
+    rng = random.Random(run)
+    versions = [(d, rng.randrange(0, 300), n) for d in ("d", "e", None) for n in range(40)] + [("late", None, 1)]
+    readings = [(d, None if n == 7 else rng.randrange(-20, 320), n) for d in ("d", "e", "f", "late", None) for n in range(60)]
+    got = config_as_of(
+        spark.createDataFrame(readings, "device_id string, us long, seq long"),
+        spark.createDataFrame(versions, "device_id string, valid_from_us long, v long"),
+        run=run,
+    ).collect()
+
+    def in_force(device, us):
+        known = [(at, v) for d, at, v in versions if d == device and at is not None and us is not None and at <= us]
+        return max(known, default=None)
+
+    assert len(got) == len(readings)
+    for r in got:
+        assert (tuple(r.config) if r.config else None) == in_force(r.device_id, r.us)
+
+
+def test_mistyped_settings_are_findings(spark, tmp_path):
+    """Three bad documents give three findings and block; a quoted number is a number but no long."""
+    channel = {"ChannelNumber": 1, "Name": "c", "Tags": {"overflow_threshold": 5000}}
+
+    def write(name, device=None, settings=None, own=None):
+        one = {"DeviceId": name, "IpAddress": "10.0.0.1", "Channels": [channel | (own or {})]}
+        (tmp_path / f"{name}.json").write_text(json.dumps({"FleetId": name, "Devices": [one | (device or {})], **(settings or {})}))
+
+    write("good", {"Port": "5020"}, own={"Tags": {"overflow_threshold": "5000"}})
+    write("also", own={"Enabled": "False", "ScaleFactor": "0.5", "DecimalPlaces": None})
+    write("port", {"Port": "abc"})
+    write("enabled", own={"Enabled": "no"})
+    write("batch", settings={"BatchSize": 2.5})
+    (tmp_path / "broken.json").write_text('{"FleetId": ')
+    devices, channels = load_device_config(spark, str(tmp_path))
+    assert {r.device_id: r.port for r in devices.collect()} == {"good": 5020, "also": 502, "port": 502, "enabled": 502, "batch": 502}
+    rows = {r.device_id: r for r in channels.collect()}
+    assert (rows["good"].overflow_check, rows["port"].overflow_check, rows["port"].overflow_threshold) == (False, True, 5000)
+    assert (rows["also"].enabled, rows["also"].scale_factor, rows["also"].decimal_places) == (False, 0.5, 0)
+    found = {(r.fleet_id.rsplit("/", 1)[-1], r.level, r.rule, *r.members) for r in document_findings(spark, str(tmp_path)).collect()}
+    assert found == {
+        ("port", "device", "mistyped_setting", "Port"),
+        ("enabled", "channel", "mistyped_setting", "Enabled"),
+        ("batch", "fleet", "mistyped_setting", "BatchSize"),
+        ("broken.json", "fleet", "malformed_document"),
+    }
+    allowed, their_channels, violations = gated_config(spark, str(tmp_path))
+    assert {r.device_id for r in allowed.collect()} == {r.device_id for r in their_channels.collect()} == {"good", "also"}
+    assert violations.count() == 4
+
+
 def test_join_line_prefers_the_tag(spark):
     rows = spark.createDataFrame([("d", {"line": "tag"}), ("d", {}), ("e", {})], "device_id string, tags map<string,string>")
     lines = spark.createDataFrame([("d", "map")], "device_id string, line string")

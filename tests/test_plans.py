@@ -39,11 +39,37 @@ def test_one_shuffle_for_the_readings(plan, spark):
     assert "_slice" in names
 
 
-def test_a_long_window_shuffles_rows_once(plan):
-    """The rows by slice, the summaries by series; no window of rows is as wide as the rate window."""
-    text = plan("counter_rate")
-    assert len(re.findall(r"hashpartitioning\(device_id#\d+, channel#\d+, _slice#\d+L", text)) >= 1
-    assert "3600000000" in text
+def scans(text):
+    return len(re.findall(r"FileScan", text))
+
+
+def row_shuffles(text):
+    """Shuffles of rows by key and time slice; summaries are shuffled by key, or by key and slice to join."""
+    made = re.sub(r"ReusedExchange.*", "", text)
+    return len(re.findall(r"Exchange hashpartitioning\([^)]*_slice#\d+L[^)]*\), REPARTITION", made))
+
+
+@pytest.mark.parametrize("name, sources", [("counter_rate", 1), ("poll_gaps", 1), ("process_readings", 3), ("read_and_log", 1), ("health_epochs", 1)])
+def test_carried_values_read_and_shuffle_rows_once(plan, spark, name, sources):
+    """One scan per table, one shuffle of the rows, its other uses reuse it."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    text = plan(name)
+    assert scans(text) == sources, text
+    assert row_shuffles(text) == 1, text
+    assert "ReusedExchange" in text
+
+
+def test_epochs_need_five_shuffles_at_most(plan, spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    assert shuffles(plan("health_epochs")) <= 5
+
+
+def test_readings_meet_versions_without_a_sort_of_their_own(plan):
+    """Versions are a small side; readings are scanned once and neither shuffled nor sorted."""
+    text = plan("config_as_of")
+    assert scans(text) == 2
+    probe = text[: text.index("BroadcastExchange")]
+    assert "Sort" not in probe and "Exchange hashpartitioning" not in probe
 
 
 def test_filter_and_columns_reach_the_scan(plan):
@@ -56,7 +82,7 @@ def test_health_shuffles_its_events_once(plan, spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     text = plan("health_history")
     assert "ReusedExchange" in text
-    assert len(re.findall(r"(?<!Reused)Exchange hashpartitioning\(device_id#\d+, _slice#\d+L, \d+\), REPARTITION", re.sub(r"ReusedExchange.*", "", text))) == 1
+    assert row_shuffles(text) == 1
 
 
 @pytest.mark.parametrize("name", ["counter_rate", "health_history", "health_epochs", "config_as_of", "poll_gaps", "unread_channels"])

@@ -2,16 +2,24 @@ from __future__ import annotations
 
 import datetime
 import json
+import random
 
 import pandas as pd
 from pyspark.sql import functions as F
 
 from countermill.operators import filters, rollups
 from countermill.operators.hooks import custom_transformer, custom_validator
-from countermill.operators.readings import process_readings, read_and_log
+from countermill.operators.readings import process_readings, read_and_log, read_and_log_fleet
 from countermill.schemas import REGISTER_LOG
 from countermill.sources import sinks
-from countermill.sources.polls import read_register_log
+from countermill.sources.polls import (
+    accepted,
+    judged_register_log,
+    judged_register_stream,
+    read_register_log,
+    rejected,
+)
+from countermill.streaming.delivery import replay
 from test_config import channel_rows
 
 T0 = datetime.datetime(2024, 5, 1, 12, tzinfo=datetime.UTC)
@@ -74,6 +82,53 @@ def test_register_log_files(spark, tmp_path):
     assert got[1]["us"] - got[0]["us"] == 5_000_000
 
 
+def test_rejected_and_accepted_add_up(spark, tmp_path):
+    """Corrupt JSON, wrong types, no device, no channel, no time: batch and stream alike."""
+    good = {"device_id": "d", "channel": 1, "registers": [7], "ts": "2024-01-01T00:00:00Z", "success": True, "seq": 1}
+    lines = [json.dumps(good | change) for change in ({}, {"seq": 2, "device_id": None}, {"channel": None}, {"ts": None}, {"channel": "x"})]
+    lines += [json.dumps(good)[:-9], "", "no json at all"]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/polls.json").write_text("\n".join(lines) + "\n")
+    found = judged_register_log(spark, str(tmp_path / "in"), "json")
+    assert accepted(found).count() == 1 and accepted(found).columns == read_register_log(spark, str(tmp_path / "in"), "json").columns
+    reasons = sorted(r.reason for r in rejected(found).collect())
+    assert reasons == ["corrupt_record"] * 3 + ["no_channel", "no_device", "no_time"]
+    assert {json.loads(r.record).get("seq") for r in rejected(found).filter("reason = 'no_device'").collect()} == {2}
+    stream = judged_register_stream(spark, str(tmp_path / "in"), "json")
+    again = replay(rejected(stream), str(tmp_path / "run"))
+    assert sorted(map(str, again.collect())) == sorted(map(str, rejected(found).collect()))
+
+
+def test_every_device_has_its_own_window(spark):
+    """Three windows, a device without rates and one without settings, against each row's own scan."""
+    rng = random.Random(3)
+    settings = {"a": (30, 900, True), "b": (7200, 500, True), "c": (100_000, 700, True), "n": (60, 10, False), "z": (None, 10, True)}
+    rows, seq = [], 0
+    for device in (*settings, "other"):
+        us = 0
+        for _ in range(120):
+            us += rng.choice([0, 1, 29, 30, 31, 5000]) * 1_000_000
+            rows.append((device, us, [rng.randrange(1000), 0, rng.randrange(1000), 0][: rng.choice([4, 4, 2])], seq))
+            seq += 1
+    blocks = spark.createDataFrame(rows, "device_id string, us long, registers array<int>, seq long")
+    table = spark.createDataFrame(
+        [(d, [0, 1], *s) for d, s in settings.items()],
+        "device_id string, channels array<int>, rate_window int, overflow_threshold long, calculate_rate boolean",
+    )
+    got = {(r.channel, r.seq): (r["count"], r.rate, r.near_overflow) for r in read_and_log_fleet(blocks, table).collect()}
+    want = {}
+    for channel in (0, 1):
+        for device, (window, most, wanted) in settings.items():
+            points = [(us, n, regs[2 * channel]) for d, us, regs, n in rows if d == device and len(regs) > 2 * channel]
+            for us, n, count in points:
+                rate = None
+                if wanted and window:
+                    old = min(p for p in points if us - window * 1_000_000 < p[0] <= us)
+                    rate = (count - old[2]) / ((us - old[0]) / 1e6) if us > old[0] else None
+                want[channel, n] = (count, rate, count > most)
+    assert got == want
+
+
 def test_script_pipeline_and_points(spark):
     blocks = spark.createDataFrame(
         [
