@@ -13,7 +13,10 @@ BLOCK_TAGS = frozenset(
     " pre search section select summary table tbody td textarea tfoot th thead title tr ul".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT_TAGS = "script|style|template|noscript|svg|math|iframe|object|canvas|audio|video"
+#: Their content is no markup, up to their end tag or the end of the page.
+RAW_TAGS = frozenset("script style template noscript iframe".split())
+#: Their content is a picture, a film or a formula, or what stands in for it, up to the end tag that matches.
+HIDDEN_TAGS = frozenset("svg math canvas audio video".split())
 #: An element of the key is ended by the start of one of the values.
 ENDED_BY = {
     "p": BLOCK_TAGS - {"button", "label"},
@@ -29,13 +32,10 @@ ENDED_BY = {
 #: An end or implied end does not look past these.
 SCOPE = {"li": {"ul", "ol", "menu"}, "td": {"table"}, "th": {"table"}, "tr": {"table"}, "dt": {"dl"}, "dd": {"dl"}, "p": {"td", "th", "table", "li", "div", "article", "section", "body"}}
 
-MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    rf"|<(?P<silent>{SILENT_TAGS})\b[^>]*>.*?(?:</(?P=silent)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attributes>(?:[^>\"']++|\"[^\"]{0,4096}+\"|'[^']{0,4096}+')*+|[^>]*)(?:>|\Z)"
-    r"|<[!?/][^>]*(?:>|\Z)",
-    re.S | re.I,
-)
+MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)|<[!?/][^>]*(?:>|\Z)", re.S)
+PLAIN_REST = re.compile(r"[^>\"']*(?:>|\Z)")
+STOP = re.compile(r"[>\"']")
+OPENS_VALUE = re.compile(r"=\s*\Z")
 NAMES = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
@@ -48,8 +48,45 @@ class Block(NamedTuple):
     linked: int
 
 
+def tag_end(page: str, at: int, missing: set[str]) -> int:
+    """Where the tag whose name ends at this place ends. A quoted value, of any length, may hold a `>`; a quote
+    that opens no value or is never closed is a sign like others. `missing` keeps the quotes that do not
+    occur any more, so that no page is searched for one twice."""
+    plain = PLAIN_REST.match(page, at)
+    if plain:
+        return plain.end()
+    start = at
+    while stop := STOP.search(page, at):
+        at = stop.end()
+        if stop[0] == ">":
+            return at
+        if stop[0] not in missing and OPENS_VALUE.search(page, max(start, at - 65), at - 1):
+            close = page.find(stop[0], at)
+            if close < 0:
+                missing.add(stop[0])
+            else:
+                at = close + 1
+    return len(page)
+
+
+def matching_ends(page: str, name: str) -> dict[int, int]:
+    """For each start of an element of this name that is closed, where its end tag ends."""
+    found, open_at = {}, []
+    for m in re.finditer(rf"<(/?){name}(?=[\s/>])[^>]*(?:>|\Z)", page, re.I):
+        if not m[1]:
+            if not m[0].endswith("/>"):
+                open_at.append(m.start())
+        elif open_at:
+            found[open_at.pop()] = m.end()
+    return found
+
+
 def blocks(page: str) -> list[Block]:
-    """Blocks in page order. References are decoded, white space is one space, empty blocks are left out."""
+    """Blocks in page order. References are decoded, white space is one space, empty blocks are left out.
+
+    A raw element that is never closed hides the rest of the page, as it does in a browser; a picture or
+    film that is never closed hides nothing. A comment that is never closed is one to the end of the page.
+    """
     out: list[Block] = []
     stack: list[tuple[str, str]] = []
     texts: list[str] = []
@@ -71,7 +108,9 @@ def blocks(page: str) -> list[Block]:
             links -= tag == "a"
         del stack[place:]
 
-    for m in MARKUP.finditer(page):
+    missing: set[str] = set()
+    ends: dict[str, dict[int, int]] = {}
+    while m := MARKUP.search(page, at):
         if m.start() > at:
             piece = page[at : m.start()]
             texts.append(piece)
@@ -81,6 +120,17 @@ def blocks(page: str) -> list[Block]:
         if not name:
             continue
         name = name.lower()
+        at = tag_end(page, m.end(), missing)
+        attributes = page[m.end() : at - 1] if page[at - 1] == ">" else page[m.end() : at]
+        if name in RAW_TAGS and not m["end"]:
+            close = re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
+            at = close.end() if close else len(page)
+            continue
+        if name in HIDDEN_TAGS and not m["end"]:
+            if name not in ends:
+                ends[name] = matching_ends(page, name)
+            at = max(at, ends[name].get(m.start(), at))
+            continue
         if m["end"]:
             if name in BLOCK_TAGS:
                 flush()
@@ -101,10 +151,9 @@ def blocks(page: str) -> list[Block]:
                     break
         elif name == "br":
             texts.append(" ")
-        if name in VOID_TAGS or m["attributes"].endswith("/"):
+        if name in VOID_TAGS or attributes.endswith("/"):
             continue
         links += name == "a"
-        attributes = m["attributes"]
         named = " ".join(
             part.lower() for found in NAMES.findall(attributes) for part in PARTS.findall(" ".join(found))
         ) if attributes and "=" in attributes else ""

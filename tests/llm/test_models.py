@@ -167,6 +167,34 @@ def test_blocks_of_a_page():
     assert blocks("<script>var a = '<p>x</p>'")== []
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ('<p title="' + "x" * 9000 + ' > tail">text</p><p>b</p>', ["text", "b"]),
+        ("<p title='" + "> " * 5000 + "'>text</p>", ["text"]),
+        ("<p>a</p><svg-icon>x</svg-icon><video-player>y</video-player><style-guide>z</style-guide><p>b</p>", ["a", "xyz", "b"]),
+        ("<p>a</p><svg><path d='M0'/><text>x</text></svg><p>b</p>", ["a", "b"]),
+        ("<p>a</p><svg><p>b</p><video src=x><p>c</p><canvas>", ["a", "b", "c"]),
+        ("<p>a</p><svg><p>b</p><svg><g>x</g></svg><p>c</p>", ["a", "b", "c"]),
+        ("<p>a</p><svg><svg>x</svg>y</svg><SVG/><p>b</p>", ["a", "b"]),
+        ("<p>a</p><object data=x>what stands in</object><p>b</p>", ["a", "what stands in", "b"]),
+        ("<p>a</p><script>if (a < b) '</p>'</script ><p>b</p><style>p>a{}", ["a", "b"]),
+        ("<p>a</p><script-x>c</script-x><!-- x", ["a", "c"]),
+        ("<p class=it's>a</p><p id='one>b</p><p>c", ["a", "b", "c"]),
+        ("<p title=\"a>b</p><p>c</p>", ["b", "c"]),
+        ("<p>1 < 2 <3</p><a", ["1 < 2 <3"]),
+    ],
+)
+def test_markup_that_must_not_swallow_text(page, want):
+    assert [b.text for b in blocks(page)] == want
+
+
+def test_a_very_long_page_with_open_quotes():
+    page = "<p>a</p>" + "<i x=\"'>t</i>" * 20_000 + '<p>b</p>' + "<div a=1>" * 20_000 + "<p>c</p>" + "<svg>" * 5000
+    found = [b.text for b in blocks(page)]
+    assert found[0] == "a" and found[-1] == "c"
+
+
 def test_main_text_of_made_pages_it_was_not_trained_on():
     chain = html_crf.fit(labelled_pages(1, 240))
     right = total = 0
