@@ -131,6 +131,29 @@ def test_rate_state_is_bounded(spark, tmp_path):
     assert max(state_rows(query)) <= 5
 
 
+def test_many_quiet_series_share_state(spark, tmp_path):
+    """State and calls go by bucket, not by series; results stay those of each series, also of null keys."""
+    schema = "device_id string, channel int, us long, seq long, raw_value long"
+    n = F.col("id")
+    rows = spark.range(9000).select(
+        F.when(n % 3000 != 5, F.concat(F.lit("d"), n % 3000)).alias("device_id"),
+        F.when(n % 7 != 3, (n % 3000 % 2).cast("int")).alias("channel"),
+        (F.lit(BASE * SECOND_US) + n * 10_000).alias("us"),
+        n.alias("seq"),
+        (n * n % 1_000_003).alias("raw_value"),
+    )
+    for at in range(3):
+        rows.filter(F.floor(n / 3000) == at).coalesce(1).write.parquet(str(tmp_path / f"in/{at}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    query = write_stream(stream_rate(stream, 40, gate=None), str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+    query.awaitTermination()
+    assert max(state_rows(query)) <= 2 * 1024  # two slices; 3,000 series
+    got, want = spark.read.parquet(str(tmp_path / "out")), counter_rate(rows, 40)
+    columns = ["device_id", "channel", "us", "seq", "raw_value", "rate"]
+    assert sorted(map(str, got.select(columns).collect())) == sorted(map(str, want.select(columns).collect()))
+    assert got.filter("rate is not null").count() > 3000
+
+
 def test_odd_rows_of_a_rate_stream(spark, tmp_path):
     """Rows without a time, value or key stay; late ones within the allowance are rated, older ones left out."""
     first = [("a", 0, 100 * SECOND_US, 1, 10), ("a", 0, None, 2, 5), (None, None, 100 * SECOND_US, 3, 7), ("a", 0, 130 * SECOND_US, 4, None)]
