@@ -67,6 +67,24 @@ SCRIPT_DEFAULTS = {
         "retries": 3,
         "retry_delay": 1.0,
     },
+    "influxdb": {
+        "host": "localhost",
+        "port": 8086,
+        "username": "",
+        "password": "",
+        "database": "adam_counters",
+        "ssl": False,
+        "verify_ssl": False,
+        "timeout": 5,
+        "retries": 3,
+    },
+    "logging": {
+        "poll_interval": 5.0,
+        "log_level": "INFO",
+        "log_file": "adam_logger.log",
+        "max_log_size": "10MB",
+        "backup_count": 5,
+    },
     "counters": {
         "channels": [0, 1],
         "calculate_rate": True,

@@ -257,6 +257,17 @@ def test_defaults_merge(spark):
     assert row["device"]["name"] == "ADAM-6051"
 
 
+def test_defaults_of_every_section(spark):
+    """The database and logging sections of the original are filled too."""
+    mine = spark.createDataFrame(
+        [("d", {"database": "own", "port": None}), ("e", None)], "device_id string, influxdb struct<database string, port int>"
+    )
+    own, bare = apply_config_defaults(mine, SCRIPT_DEFAULTS).orderBy("device_id").collect()
+    assert (own["influxdb"]["database"], own["influxdb"]["port"], own["influxdb"]["ssl"]) == ("own", 8086, False)
+    assert (bare["influxdb"]["database"], bare["influxdb"]["retries"]) == ("adam_counters", 3)
+    assert (own["logging"]["poll_interval"], own["logging"]["backup_count"]) == (5.0, 5)
+
+
 def test_config_as_of(spark):
     versions = spark.createDataFrame([("d", 100, "v1"), ("d", 200, "v2"), ("e", 0, "w")], "device_id string, valid_from_us bigint, v string")
     readings = spark.createDataFrame(
