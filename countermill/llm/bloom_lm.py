@@ -4,9 +4,11 @@ Counts of words and of pairs of neighbouring words, over all training texts, are
 and held in a Bloom filter: an n-gram of level q is inserted q times, as (n-gram, 1) to (n-gram, q), and
 its level is found again by probing 1, 2, ... until a probe misses. The filter is cut into segments by
 hash. A segment is filled in one task from the partial counts of all tasks and is a fixed number of
-bits; the lowest counts are left out until its insertions fit, so the false-positive rate is the same at
-every size. Bits in all: 8 per training byte of text, up to `most_bits` (32 MB by default), which bounds
-what is broadcast.
+bits. Bits in all: 8 per training byte of text, up to `most_bits` (32 MB by default), which bounds what is
+broadcast. Where a segment has no room for all its n-grams, those of the lowest counts stay out of the
+filter and go to a table with their levels. An n-gram whose level in the filter is below all that the
+segment took in is looked up in that table: a stretch of texts sends its open n-grams to the tasks that
+hold their segments and gets levels back. So every n-gram has its level at every size.
 
 Score: log10 of p(word | word before), where p(w | v) = (c(v, w) + m p(w)) / (c(v) + m) with Dirichlet
 weight m and p(w) = (c(w) + 1) / (sum of c + distinct words + 1), all c from the filter. A text starts
@@ -22,10 +24,11 @@ unknown. No rows: no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +37,16 @@ from countermill.llm.common import MIX, WordHashes, crc_of_id, joined, mixed, st
 PROBES = 4
 END = np.uint64(0xE0D)
 COUNTS = "segment int, keys1 binary, counts1 binary, keys2 binary, counts2 binary"
-SEGMENTS = "segment int, bits binary, low1 long, low2 long, n long, v long, mass double, keys binary, counts binary"
+SEGMENTS = (
+    "segment int, bits binary, low1 long, low2 long, n long, v long, mass double, keys binary, counts binary, "
+    "left1 binary, levels1 binary, left2 binary, levels2 binary"
+)
+#: Segments whose left-out n-grams one task looks up.
+TOGETHER = 16
+#: The level of an n-gram that is to be looked up among those left out.
+OPEN = np.uint16(0xFFFF)
+STRETCH = "stretch long, part int, texts binary, levels1 binary, levels2 binary, keys1 binary, keys2 binary"
+SCORES = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
 def levels(base: float, top: float = 1e15) -> np.ndarray:
@@ -127,7 +139,8 @@ def partial_counts(documents: DataFrame, segments: int, flush: int = 1_500_000)
 
 
 def filled_segments(counts: DataFrame, segment_bits: int) -> DataFrame:
-    """One row per segment: its bits, the lowest counts in it, and the exact counts of its words."""
+    """One row per segment: its bits, the lowest counts in it where some n-grams are left out (else 0), the
+    exact counts of its words, and the n-grams left out with their levels."""
     room = int(segment_bits * np.log(2) / PROBES)
 
     def lowest(counts: np.ndarray, order: int, room: int) -> tuple[int, int]:
@@ -147,7 +160,9 @@ def filled_segments(counts: DataFrame, segment_bits: int) -> DataFrame:
         bits = np.zeros(segment_bits, bool)
         low1, used = lowest(n1, 0, room // 2)
         low2, _ = lowest(n2, 1, room - used)
+        left = []
         for order, keys, n, low in ((0, words, n1, low1), (1, pairs, n2, low2)):
+            left += [keys[n < low].tobytes(), level_of(n[n < low], order).astype(np.uint16).tobytes()]
             keys, level = keys[n >= low], level_of(n[n >= low], order)
             j = 0
             while len(keys):
@@ -155,27 +170,36 @@ def filled_segments(counts: DataFrame, segment_bits: int) -> DataFrame:
                 for place in places(keys, j, segment_bits):
                     bits[place] = True
                 keys, level = keys[level > j], level[level > j]
-        mass = float(value_of(level_of(n1[n1 >= low1], 0), 0).sum())
+        mass = float(value_of(level_of(n1, 0), 0).sum())
         row = [
-            table["segment"][0].as_py(), np.packbits(bits, bitorder="little").tobytes(), low1, low2,
-            int(n1.sum()), len(words), mass, words.tobytes(), n1.tobytes(),
+            table["segment"][0].as_py(), np.packbits(bits, bitorder="little").tobytes(),
+            low1 if left[0] else 0, low2 if left[2] else 0, int(n1.sum()), len(words), mass, words.tobytes(), n1.tobytes(), *left,
         ]
         names = [f.split()[0] for f in SEGMENTS.split(", ")]
-        kinds = [pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.binary()]
+        kinds = [pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), *[pa.binary()] * 6]
         return pa.table([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=names)
 
     return counts.groupBy("segment").applyInArrow(fill, SEGMENTS)
 
 
+def ngrams(codes: np.ndarray, before: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Keys of the distinct words, tokens and those before them, and of the distinct pairs, and their places."""
+    words, at_word = np.unique(np.concatenate([codes, before]), return_inverse=True)
+    return [(key_of(words), at_word), np.unique(key_of(codes, before), return_inverse=True)]
+
+
 class Model:
-    """The filter and the numbers that go with it."""
+    """The filter and the numbers that go with it. `lows` has, per order and segment, the lowest count that
+    the segment took in where it left some n-grams out, else 0."""
 
-    def __init__(self, bits: np.ndarray, segment_bits: int, n: int, v: int, mass: float, weight: float):
+    def __init__(self, bits: np.ndarray, segment_bits: int, n: int, v: int, mass: float, weight: float, lows: np.ndarray):
         self.bits, self.segment_bits, self.n, self.v, self.mass, self.weight = bits, segment_bits, n, v, mass, weight
         self.segments = len(bits) * 8 // segment_bits
+        self.partial = bool(lows.any())
+        self.floors = [level_of(lows[order], order) for order in (0, 1)]
 
-    def count(self, keys: np.ndarray, order: int) -> np.ndarray:
-        """Counts by repeated membership probes, level after level until one misses."""
+    def levels(self, keys: np.ndarray, order: int) -> np.ndarray:
+        """Levels by repeated membership probes, level after level until one misses."""
         level = np.zeros(len(keys), np.int64)
         alive, start = np.arange(len(keys)), segment_of(keys, self.segments) * self.segment_bits
         for j in range(1, len(LEVELS[order])):
@@ -185,15 +209,25 @@ class Model:
             level[alive] = j
             if not len(alive):
                 break
-        return value_of(level, order)
+        return level
 
-    def log10(self, codes: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """log10 p(code | code before) of each token."""
-        words, at_word = np.unique(np.concatenate([codes, before]), return_inverse=True)
-        single = self.count(key_of(words), 0)
+    def settled(self, keys: np.ndarray, order: int) -> np.ndarray:
+        """Levels, and OPEN for an n-gram that can only be among those left out."""
+        level = self.levels(keys, order).astype(np.uint16)
+        level[level < self.floors[order][segment_of(keys, self.segments)]] = OPEN
+        return level
+
+    def count(self, keys: np.ndarray, order: int) -> np.ndarray:
+        """Counts as far as the filter has them."""
+        return value_of(self.levels(keys, order), order)
+
+    def log10(self, codes: np.ndarray, before: np.ndarray, known: Callable | None = None) -> np.ndarray:
+        """log10 p(code | code before) of each token, with levels of (keys, order) from `known` or the filter."""
+        (words, at_word), (pairs, at_pair) = ngrams(codes, before)
+        known = known or self.levels
+        single = value_of(known(words, 0), 0)
         own, context = single[at_word[: len(codes)]], single[at_word[len(codes) :]]
-        pairs, at_pair = np.unique(key_of(codes, before), return_inverse=True)
-        both = np.minimum(self.count(pairs, 1)[at_pair], np.minimum(own, context))
+        both = np.minimum(value_of(known(pairs, 1), 1)[at_pair], np.minimum(own, context))
         p = (own + 1) / (self.mass + self.v + 1)
         return np.log10((both + self.weight * p) / (context + self.weight))
 
@@ -210,8 +244,11 @@ def train(
     found = np.zeros(segments * segment_bits // 8, np.uint8)
     for segment, part in rows.select("segment", "bits").toPandas().itertuples(index=False):
         found[segment * segment_bits // 8 : (segment + 1) * segment_bits // 8] = np.frombuffer(part, np.uint8)
+    lows = np.zeros((2, segments), np.int64)
+    for segment, low1, low2 in rows.select("segment", "low1", "low2").toPandas().itertuples(index=False):
+        lows[:, segment] = low1, low2
     n, v, mass = rows.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "v", "mass"))).first()
-    return rows, Model(found, segment_bits, int(n), int(v), float(mass), weight)
+    return rows, Model(found, segment_bits, int(n), int(v), float(mass), weight, lows)
 
 
 def word_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -231,51 +268,129 @@ def scored(
     shared = spark.sparkContext.broadcast(model)
     exact = spark.sparkContext.broadcast(word_counts(rows)) if model.v <= most_words else None
     bottom = float(np.log10(model.n + model.v + 1))
-    names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
+
+    def judged(part: pa.RecordBatch, codes: np.ndarray, before: np.ndarray, sizes: np.ndarray, known: Callable | None = None) -> pa.RecordBatch:
+        starts = np.cumsum(sizes) - sizes
+        score = np.add.reduceat(shared.value.log10(codes, before, known), starts)
+        seen, base = np.zeros(len(sizes), np.int64), np.zeros(len(sizes))
+        if exact:
+            keys, counts = exact.value
+            words, back = np.unique(codes, return_inverse=True)
+            wanted = key_of(words)
+            place = np.searchsorted(keys, wanted)
+            c = np.zeros(len(words), np.int64)
+            inside = place < len(keys)
+            hit = np.flatnonzero(inside)[keys[place[inside]] == wanted[inside]]
+            c[hit] = counts[place[hit]]
+            seen = np.add.reduceat((c > 0)[back].astype(np.int64), starts)
+            base = np.add.reduceat(np.log10(c + 1.0)[back], starts) - sizes * bottom
+        columns = [part.column(0), part.column(1), part.column(2), pa.array(sizes), pa.array(seen), pa.array(base), pa.array(score)]
+        return pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in SCORES.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
-            at = 0
-            texts = batch.column(3).to_pylist()
-            while at < len(texts):
-                end, size = at, 0
-                while end < len(texts) and (end == at or size < 6 * flush):
-                    size += len(texts[end])
-                    end += 1
-                codes, before, sizes = token_codes(texts[at:end], hashes)
-                starts = np.cumsum(sizes) - sizes
-                score = np.add.reduceat(shared.value.log10(codes, before), starts)
-                known, base = np.zeros(len(sizes), np.int64), np.zeros(len(sizes))
-                if exact:
-                    keys, counts = exact.value
-                    words, back = np.unique(codes, return_inverse=True)
-                    wanted = key_of(words)
-                    place = np.searchsorted(keys, wanted)
-                    c = np.zeros(len(words), np.int64)
-                    inside = place < len(keys)
-                    hit = np.flatnonzero(inside)[keys[place[inside]] == wanted[inside]]
-                    c[hit] = counts[place[hit]]
-                    known = np.add.reduceat((c > 0)[back].astype(np.int64), starts)
-                    base = np.add.reduceat(np.log10(c + 1.0)[back], starts) - sizes * bottom
-                part = batch.slice(at, end - at)
-                columns = [part.column(0), part.column(1), part.column(2), pa.array(sizes), pa.array(known), pa.array(base), pa.array(score)]
-                yield pa.RecordBatch.from_arrays(columns, names)
-                at = end
-
-    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+        for part in stretches(batches, 6 * flush):
+            yield judged(part, *token_codes(part.column(3).to_pylist(), hashes))
+
+    def every_level(numbered: DataFrame) -> DataFrame:
+        return looked_up(numbered, rows, shared, judged, 6 * flush) if model.partial else numbered.mapInArrow(run, SCORES)
+
     if exact:
         numbered = documents.select(F.lit(0).cast("long").alias("row"), "doc_id", held_out.alias("held_out"), text_bytes().alias("text"))
-        result = numbered.mapInArrow(run, schema)
+        result = every_level(numbered)
     else:
         row = F.xxhash64("doc_id", "text")
         numbered = documents.select(row.alias("row"), "doc_id", held_out.alias("held_out"), text_bytes().alias("text"))
-        result = with_exact_counts(numbered, numbered.mapInArrow(run, schema), rows, bottom)
+        result = with_exact_counts(numbered, every_level(numbered), rows, bottom)
     return result.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score"
     )
 
 
+def stretches(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Rows whose texts, the fourth column, reach so many bytes together."""
+    for batch in batches:
+        ends = np.cumsum(pa.compute.binary_length(batch.column(3)).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < len(ends):
+            end = min(len(ends), int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most)) + 1)
+            yield batch.slice(at, end - at)
+            at = end
+
+
+def by_task(keys: np.ndarray, wanted: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the wanted keys in order of the tasks that look them up, these tasks, and where each starts."""
+    places = np.flatnonzero(wanted)
+    task = segment_of(keys[places], segments) // TOGETHER
+    order = np.argsort(task, kind="stable")
+    tasks, starts = np.unique(task[order], return_index=True)
+    return places[order], tasks, np.append(starts, len(places))
+
+
+def looked_up(numbered: DataFrame, rows: DataFrame, shared, judged: Callable, most: int) -> DataFrame:
+    """Scores where segments have left n-grams out. A stretch of texts is stored with the levels that the filter
+    settles; its open n-grams go to the tasks of their segments, and the levels come back to it."""
+    names = [f.split()[0] for f in STRETCH.split(", ")]
+    kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 5]
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, model = WordHashes(), shared.value
+        for n, part in enumerate(stretches(batches, most)):
+            stretch = (TaskContext.get().partitionId() << 32) + n
+            codes, before, _ = token_codes(part.column(3).to_pylist(), hashes)
+            levels, asked = [], {}
+            for order, (keys, _) in enumerate(ngrams(codes, before)):
+                levels.append(model.settled(keys, order))
+                places, tasks, cuts = by_task(keys, levels[order] == OPEN, model.segments)
+                for task, begin, end in zip(tasks.tolist(), cuts[:-1], cuts[1:], strict=True):
+                    asked.setdefault(task, [b"", b""])[order] = keys[places[begin:end]].tobytes()
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                writer.write_batch(part)
+            out = [(stretch, -1, sink.getvalue().to_pybytes(), *(x.tobytes() for x in levels), None, None)]
+            out += [(stretch, task, None, None, None, *keys) for task, keys in asked.items()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
+    def answer(asked: pa.Table, left: pa.Table) -> pa.Table:
+        columns = [asked["stretch"], asked["part"]]
+        for order in ("1", "2"):
+            keys = np.frombuffer(b"".join(left[f"left{order}"].to_pylist()), np.uint64)
+            level = np.frombuffer(b"".join(left[f"levels{order}"].to_pylist()), np.uint16)
+            by_key = np.argsort(keys)
+            keys, level = np.append(keys[by_key], np.uint64(0)), np.append(level[by_key], np.uint16(0))
+            answers = []
+            for wanted in asked[f"keys{order}"].to_pylist():
+                wanted = np.frombuffer(wanted, np.uint64)
+                place = np.searchsorted(keys[:-1], wanted)
+                answers.append(np.where(keys[place] == wanted, level[place], np.uint16(0)).tobytes())
+            columns.append(pa.array(answers, pa.binary()))
+        return pa.table(columns, names=["stretch", "part", "levels1", "levels2"])
+
+    def finish(stretch: pa.Table, answers: pa.Table) -> pa.Table:
+        with pa.ipc.open_stream(stretch["texts"][0].as_buffer()) as reader:
+            part = reader.read_next_batch()
+        segments = shared.value.segments
+        found = [dict(zip(answers["part"].to_pylist(), answers[f"levels{o}"].to_pylist(), strict=True)) for o in "12"]
+
+        def known(keys: np.ndarray, order: int) -> np.ndarray:
+            level = np.frombuffer(stretch[f"levels{order + 1}"][0].as_py(), np.uint16).copy()
+            places, tasks, cuts = by_task(keys, level == OPEN, segments)
+            for task, begin, end in zip(tasks.tolist(), cuts[:-1], cuts[1:], strict=True):
+                level[places[begin:end]] = np.frombuffer(found[order][task], np.uint16)
+            return level.astype(np.int64)
+
+        return pa.Table.from_batches([judged(part, *token_codes(part.column(3).to_pylist(), WordHashes()), known)])
+
+    parts = stored(numbered.mapInArrow(ask, STRETCH))
+    left = rows.select(F.floor(F.col("segment") / TOGETHER).cast("int").alias("part"), "left1", "levels1", "left2", "levels2")
+    answers = (
+        parts.where("part >= 0").select("stretch", "part", "keys1", "keys2").groupBy("part").cogroup(left.groupBy("part"))
+        .applyInArrow(answer, "stretch long, part int, levels1 binary, levels2 binary")
+    )
+    texts = parts.where("part < 0").select("stretch", "texts", "levels1", "levels2")
+    return texts.groupBy("stretch").cogroup(answers.groupBy("stretch")).applyInArrow(finish, SCORES)
+
+
 def with_exact_counts(numbered: DataFrame, scores: DataFrame, rows: DataFrame, bottom: float) -> DataFrame:
     """n_known and base_score by a join of documents' words with the counts, where these are too many to
     broadcast. Rows of equal id and text are one here and get the same sums."""

@@ -137,6 +137,21 @@ def test_a_small_filter_leaves_out_rare_ngrams_only(docs):
     assert len(model.bits) * 8 <= 1 << 16 and (model.count(unseen, 0) > 0).mean() < 0.12
 
 
+@pytest.mark.parametrize("most_words", [16_000_000, 0])
+def test_ngrams_left_out_of_a_small_filter_keep_their_counts(docs, most_words):
+    """Scores are those of a filter with room for all, but for false positives, which are never rarer than an n-gram left out."""
+    columns = ["doc_id", "n_tokens", "n_known", "base_score", "score"]
+    small, large = (
+        {r.doc_id: r for r in bloom_lm.scored(docs, most_words=most_words, most_bits=bits, flush=20_000).select(columns).collect()}
+        for bits in (1 << 18, 1 << 28)
+    )
+    assert small.keys() == large.keys()
+    for doc_id, r in small.items():
+        assert tuple(r)[:3] == tuple(large[doc_id])[:3] and r.base_score == pytest.approx(large[doc_id].base_score)
+    per_token = np.array([(r.score - large[d].score) / r.n_tokens for d, r in small.items()])
+    assert np.abs(per_token).mean() < 0.03 and np.abs(per_token).max() < 0.3
+
+
 def test_probabilities_of_next_words_sum_to_about_one(docs):
     _, model = bloom_lm.train(docs)
     words = sorted({w for r in docs.collect() for w in plain_tokens(r.text)[:-1]})
