@@ -38,6 +38,8 @@ SHINGLE = 5
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 #: White space beyond ASCII, and the separators that str.split takes for white space.
 SPACES = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: Bytes of text that are looked at together; a look takes some forty times as many bytes of memory.
+LOOK_BYTES = 1 << 20
 SCHEMA = "doc_id long, item_id long, similarity double, first_word long, n_places long"
 
 
@@ -264,7 +266,7 @@ def matches(
         items = spark.sparkContext.broadcast(Items(block, threshold, radius))
 
         def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            for batch in in_stretches(batches, 1):
+            for batch in in_stretches(batches, 1, LOOK_BYTES):
                 rows = []
                 texts = [text or "" for text in batch.column(1).to_pylist()]
                 for doc_id, found in zip(batch.column(0).to_pylist(), items.value.find(texts), strict=True):
@@ -289,7 +291,7 @@ def decontaminated(
         items = spark.sparkContext.broadcast(Items(block, threshold, radius))
 
         def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            for batch in in_stretches(batches, place):
+            for batch in in_stretches(batches, place, LOOK_BYTES):
                 clean = [not found for found in items.value.find([text or "" for text in batch.column(place).to_pylist()])]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 

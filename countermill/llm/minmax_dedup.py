@@ -67,7 +67,7 @@ def bands(codes: np.ndarray) -> np.ndarray:
 
 def signed_sets(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, the digest of the set and its bands."""
-    hashes = WordHashes()
+    hashes = WordHashes(200_000)
 
     def step(batch: pa.RecordBatch) -> dict:
         sizes, digests, rows = [], [], []
@@ -88,19 +88,20 @@ def signed_sets(documents: DataFrame) -> DataFrame:
         documents.select("doc_id", text_bytes().alias("text")),
         step,
         "doc_id long, n_shingles long, digest binary, bands array<long>",
+        text=1,
     )
 
 
 def full_sets(documents: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, codes): the shingle sets of these documents only."""
-    hashes = WordHashes()
+    hashes = WordHashes(200_000)
 
     def step(batch: pa.RecordBatch) -> dict:
         sets = [shingle_set(text, hashes) for text in batch.column(1).to_pylist()]
         return {"node": batch.column(0), "codes": pa.array([s.tobytes() for s in sets], pa.binary())}
 
     texts = documents.select("doc_id", text_bytes().alias("text")).join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
-    return stored(map_batches(texts, step, "node long, codes binary").distinct())
+    return stored(map_batches(texts, step, "node long, codes binary", text=1).distinct())
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from countermill.llm.common import text_bytes
+from countermill.llm.common import in_stretches, text_bytes
 
 BUCKETS = 1 << 14
 #: The commonest function words of English, French, German and Spanish.
@@ -128,7 +128,7 @@ class Shapes(dict):
     """Two hashed features of a word: its shape and its last characters' kinds."""
 
     def __missing__(self, word: bytes) -> tuple[int, int]:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         kinds = bytes(_KIND[b] for b in word)
         shape = bytes(b for i, b in enumerate(kinds) if not i or kinds[i - 1] != b)
@@ -225,7 +225,7 @@ def good_documents(documents: DataFrame, threshold: float = 0.5, **options) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shapes = Shapes()
-        for batch in batches:
+        for batch in in_stretches(batches, place):
             texts = batch.column(place).to_pylist()
             keep = [score((t or "").encode(), shared.value, shapes) >= threshold for t in texts]
             yield batch.filter(pa.array(keep, pa.bool_()))
