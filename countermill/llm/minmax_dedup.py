@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from countermill.llm.common import WordHashes, map_batches, mixed, shingle_codes, stored, text_bytes
-from countermill.llm.components import components
+from countermill.llm.components import centres
 
 PERMUTATIONS = 60
 ROWS = 5
@@ -123,7 +123,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["u", "v"])
 
-    return stored(both.mapInArrow(compare, "u long, v long").distinct())
+    return stored(both.mapInArrow(compare, "u long, v long"))
 
 
 #: Nodes of one side of a block, and shingles that a product of matrices takes at once.
@@ -205,9 +205,7 @@ def crossing_links(buckets: DataFrame, labels: DataFrame, sets: DataFrame, perce
         found = joining_links(nodes, parts, sets, table["outside"].to_numpy().astype(bool), percent)
         return pa.table([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], names=["u", "v"])
 
-    return stored(
-        paired.join(sets, "node").groupBy("bucket", "low", "high").applyInArrow(link, "u long, v long").where("u <> v").distinct()
-    )
+    return stored(paired.join(sets, "node").groupBy("bucket", "low", "high").applyInArrow(link, "u long, v long").where("u <> v"))
 
 
 def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
@@ -217,18 +215,18 @@ def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
     classes = known.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("node"), F.min_by("bands", "doc_id").alias("bands"))
     classes = stored(classes)
     members = known.join(classes.select("digest", "node"), "digest").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
-    alike = stored(members.where("u <> v").distinct())
+    alike = stored(members.where("u <> v"))
     every = classes.select("node", F.explode("bands").alias("bucket"))
     shared = every.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
-    buckets = stored(every.join(shared.select("bucket"), "bucket").select("bucket", "node"))
+    buckets = stored(every.join(shared, "bucket").select("bucket", "node", "low"))
 
     sets = full_sets(documents, buckets.select("node").distinct())
-    centres = buckets.join(shared.select("bucket", F.col("low").alias("u")), "bucket").where("node <> u")
-    links = confirmed(centres.groupBy(F.col("node").alias("v")).agg(F.min("u").alias("u")), sets, percent)
-    labels = components(links.union(alike))
+    nearest = buckets.where("node <> low").groupBy(F.col("node").alias("v")).agg(F.min("low").alias("u"))
+    links = confirmed(nearest, sets, percent)
+    labels = centres(links.union(alike))
     more = crossing_links(buckets, labels, sets, percent)
     if not more.isEmpty():
-        labels = components(links.union(more).union(alike))
+        labels = centres(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more))
     found = labels.withColumnRenamed("node", "doc_id")
     component = F.coalesce("component", "doc_id")
     return (

@@ -8,6 +8,7 @@ from collections import Counter
 import pytest
 
 from countermill.llm import decontaminate, minmax_dedup
+from countermill.llm.common import stored
 from countermill.llm.components import components
 
 from .conftest import SCHEMA, edited, prose
@@ -105,6 +106,14 @@ def test_components_of_paths_and_stars(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+@pytest.mark.parametrize("pairs, rounds", [([(n, 1) for n in range(2, 200)], 1), ([(n, n + 1) for n in range(1, 200)], 8)])
+def test_components_end_with_the_round_that_makes_stars(spark, monkeypatch, pairs, rounds):
+    done = []
+    monkeypatch.setattr("countermill.llm.components.stored", lambda links: done.append(1) or stored(links))
+    assert {r.component for r in components(spark.createDataFrame(pairs, "u long, v long")).collect()} == {1}
+    assert 1 <= len(done) <= rounds
+
+
 def brute_matches(docs: list[tuple], items: list[tuple], threshold: float) -> set:
     found = set()
     texts = [(doc_id, decontaminate.plain_words(body or "")) for doc_id, body in docs]
