@@ -8,7 +8,8 @@ bits. Bits in all: 8 per training byte of text, up to `most_bits` (32 MB by defa
 broadcast. Where a segment has no room for all its n-grams, those of the lowest counts stay out of the
 filter and go to a table with their levels. An n-gram whose level in the filter is below all that the
 segment took in is looked up in that table: a stretch of texts sends its open n-grams to the tasks that
-hold their segments and gets levels back. So every n-gram has its level at every size.
+hold their segments and gets levels back. So every n-gram has its level at every size. Keys travel and lie
+on disk in order, as the byte planes of their differences, compressed.
 
 Score: log10 of p(word | word before), where p(w | v) = (c(v, w) + m p(w)) / (c(v) + m) with Dirichlet
 weight m and p(w) = (c(w) + 1) / (sum of c + distinct words + 1), all c from the filter. A text starts
@@ -32,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from countermill.llm.common import MIX, WordHashes, crc_of_id, joined, mixed, stored, text_bytes
+from countermill.llm.common import MIX, WordHashes, all_unpacked, crc_of_id, joined, mixed, packed, stored, text_bytes, unpacked
 
 PROBES = 4
 END = np.uint64(0xE0D)
@@ -79,11 +80,15 @@ def segment_of(keys: np.ndarray, segments: int) -> np.ndarray:
     return (keys >> np.uint64(64 - (segments.bit_length() - 1))).astype(np.int64) if segments > 1 else np.zeros(len(keys), np.int64)
 
 
-def places(keys: np.ndarray, level: int | np.ndarray, bits: int) -> list[np.ndarray]:
-    """Bit numbers, within a segment of a power of two bits, of (key, level)."""
+def hashed(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of (key, level)."""
     one = mixed(keys + np.asarray(level, np.uint64) * MIX[0])
-    two = (one >> np.uint64(32)) | np.uint64(1)
-    return [((one + np.uint64(i) * two) & np.uint64(bits - 1)).astype(np.int64) for i in range(PROBES)]
+    return one, (one >> np.uint64(32)) | np.uint64(1)
+
+
+def place(one: np.ndarray, two: np.ndarray, probe: int, bits: int) -> np.ndarray:
+    """Bit numbers of a probe within a segment of a power of two bits."""
+    return ((one + np.uint64(probe) * two) & np.uint64(bits - 1)).astype(np.int64)
 
 
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -112,15 +117,16 @@ def partial_counts(documents: DataFrame, segments: int, flush: int = 1_500_000)
 
     def emit(held: list) -> Iterator[pa.RecordBatch]:
         codes, before = (np.concatenate([h[i] for h in held]) for i in (0, 1))
-        packed = []
+        counted = []
         for keys in (key_of(codes), key_of(codes, before)):
             keys, counts = np.unique(keys, return_counts=True)
             cuts = np.searchsorted(segment_of(keys, segments), np.arange(segments + 1))
-            packed.append((keys, counts.astype(np.uint32), cuts))
+            counted.append((keys, counts.astype(np.uint32), cuts))
         columns = [pa.array(np.arange(segments, dtype=np.int32))]
-        for keys, counts, cuts in packed:
+        for keys, counts, cuts in counted:
             for values in (keys, counts):
-                columns.append(pa.array([values[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()))
+                parts = [packed(values[a:b], values is keys) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                columns.append(pa.array(parts, pa.binary()))
         yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in COUNTS.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,27 +159,27 @@ def filled_segments(counts: DataFrame, segment_bits: int) -> DataFrame:
     def fill(table: pa.Table) -> pa.Table:
         joined_up = []
         for order in ("1", "2"):
-            keys = np.frombuffer(b"".join(table[f"keys{order}"].to_pylist()), np.uint64)
-            n = np.frombuffer(b"".join(table[f"counts{order}"].to_pylist()), np.uint32).astype(np.int64)
-            joined_up.append(summed(keys, n))
+            keys = all_unpacked(table[f"keys{order}"], np.uint64, True)
+            joined_up.append(summed(keys, all_unpacked(table[f"counts{order}"], np.uint32).astype(np.int64)))
         (words, n1), (pairs, n2) = joined_up
         bits = np.zeros(segment_bits, bool)
         low1, used = lowest(n1, 0, room // 2)
         low2, _ = lowest(n2, 1, room - used)
         left = []
         for order, keys, n, low in ((0, words, n1, low1), (1, pairs, n2, low2)):
-            left += [keys[n < low].tobytes(), level_of(n[n < low], order).astype(np.uint16).tobytes()]
+            left += [packed(keys[n < low], True), packed(level_of(n[n < low], order).astype(np.uint16))]
             keys, level = keys[n >= low], level_of(n[n >= low], order)
             j = 0
             while len(keys):
                 j += 1
-                for place in places(keys, j, segment_bits):
-                    bits[place] = True
+                hashes = hashed(keys, j)
+                for probe in range(PROBES):
+                    bits[place(*hashes, probe, segment_bits)] = True
                 keys, level = keys[level > j], level[level > j]
         mass = float(value_of(level_of(n1, 0), 0).sum())
         row = [
             table["segment"][0].as_py(), np.packbits(bits, bitorder="little").tobytes(),
-            low1 if left[0] else 0, low2 if left[2] else 0, int(n1.sum()), len(words), mass, words.tobytes(), n1.tobytes(), *left,
+            low1 if left[0] else 0, low2 if left[2] else 0, int(n1.sum()), len(words), mass, packed(words, True), packed(n1), *left,
         ]
         names = [f.split()[0] for f in SEGMENTS.split(", ")]
         kinds = [pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), *[pa.binary()] * 6]
@@ -203,9 +209,11 @@ class Model:
         level = np.zeros(len(keys), np.int64)
         alive, start = np.arange(len(keys)), segment_of(keys, self.segments) * self.segment_bits
         for j in range(1, len(LEVELS[order])):
-            for place in range(PROBES):
-                at = places(keys[alive], j, self.segment_bits)[place] + start[alive]
-                alive = alive[self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1 != 0]
+            one, two, begin = *hashed(keys[alive], j), start[alive]
+            for probe in range(PROBES):
+                at = place(one, two, probe, self.segment_bits) + begin
+                hit = self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1 != 0
+                alive, one, two, begin = alive[hit], one[hit], two[hit], begin[hit]
             level[alive] = j
             if not len(alive):
                 break
@@ -240,7 +248,7 @@ def train(
     segments = 1 << min(20, max(4, (int(size) // (1 << 21)).bit_length()))
     bits = max(segments << 10, min(most_bits, 1 << (8 * int(size)).bit_length()))
     segment_bits = bits // segments
-    rows = stored(filled_segments(partial_counts(documents, segments), segment_bits))
+    rows = stored(filled_segments(partial_counts(documents, segments), segment_bits), drop_shuffles=True)
     found = np.zeros(segments * segment_bits // 8, np.uint8)
     for segment, part in rows.select("segment", "bits").toPandas().itertuples(index=False):
         found[segment * segment_bits // 8 : (segment + 1) * segment_bits // 8] = np.frombuffer(part, np.uint8)
@@ -254,8 +262,8 @@ def train(
 def word_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Exact counts of all words, sorted by key: segments are ranges of keys."""
     parts = rows.select("segment", "keys", "counts").toPandas().sort_values("segment")
-    keys = np.frombuffer(b"".join(parts["keys"]), np.uint64)
-    return keys, np.frombuffer(b"".join(parts["counts"]), np.int64).astype(np.uint32 if len(parts) else np.int64)
+    keys = np.concatenate([np.empty(0, np.uint64), *(unpacked(data, np.uint64, True) for data in parts["keys"])])
+    return keys, np.concatenate([np.empty(0, np.uint32), *(unpacked(data, np.int64).astype(np.uint32) for data in parts["counts"])])
 
 
 def scored(
@@ -343,26 +351,25 @@ def looked_up(numbered: DataFrame, rows: DataFrame, shared, judged: Callable, mo
                 levels.append(model.settled(keys, order))
                 places, tasks, cuts = by_task(keys, levels[order] == OPEN, model.segments)
                 for task, begin, end in zip(tasks.tolist(), cuts[:-1], cuts[1:], strict=True):
-                    asked.setdefault(task, [b"", b""])[order] = keys[places[begin:end]].tobytes()
+                    asked.setdefault(task, [b"", b""])[order] = packed(keys[places[begin:end]], True)
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
                 writer.write_batch(part)
-            out = [(stretch, -1, sink.getvalue().to_pybytes(), *(x.tobytes() for x in levels), None, None)]
+            out = [(stretch, -1, sink.getvalue().to_pybytes(), *map(packed, levels), None, None)]
             out += [(stretch, task, None, None, None, *keys) for task, keys in asked.items()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
     def answer(asked: pa.Table, left: pa.Table) -> pa.Table:
         columns = [asked["stretch"], asked["part"]]
         for order in ("1", "2"):
-            keys = np.frombuffer(b"".join(left[f"left{order}"].to_pylist()), np.uint64)
-            level = np.frombuffer(b"".join(left[f"levels{order}"].to_pylist()), np.uint16)
+            keys, level = all_unpacked(left[f"left{order}"], np.uint64, True), all_unpacked(left[f"levels{order}"], np.uint16)
             by_key = np.argsort(keys)
             keys, level = np.append(keys[by_key], np.uint64(0)), np.append(level[by_key], np.uint16(0))
             answers = []
             for wanted in asked[f"keys{order}"].to_pylist():
-                wanted = np.frombuffer(wanted, np.uint64)
+                wanted = unpacked(wanted, np.uint64, True)
                 place = np.searchsorted(keys[:-1], wanted)
-                answers.append(np.where(keys[place] == wanted, level[place], np.uint16(0)).tobytes())
+                answers.append(packed(np.where(keys[place] == wanted, level[place], np.uint16(0))))
             columns.append(pa.array(answers, pa.binary()))
         return pa.table(columns, names=["stretch", "part", "levels1", "levels2"])
 
@@ -373,10 +380,10 @@ def looked_up(numbered: DataFrame, rows: DataFrame, shared, judged: Callable, mo
         found = [dict(zip(answers["part"].to_pylist(), answers[f"levels{o}"].to_pylist(), strict=True)) for o in "12"]
 
         def known(keys: np.ndarray, order: int) -> np.ndarray:
-            level = np.frombuffer(stretch[f"levels{order + 1}"][0].as_py(), np.uint16).copy()
+            level = unpacked(stretch[f"levels{order + 1}"][0].as_py(), np.uint16)
             places, tasks, cuts = by_task(keys, level == OPEN, segments)
             for task, begin, end in zip(tasks.tolist(), cuts[:-1], cuts[1:], strict=True):
-                level[places[begin:end]] = np.frombuffer(found[order][task], np.uint16)
+                level[places[begin:end]] = unpacked(found[order][task], np.uint16)
             return level.astype(np.int64)
 
         return pa.Table.from_batches([judged(part, *token_codes(part.column(3).to_pylist(), WordHashes()), known)])
@@ -408,7 +415,7 @@ def with_exact_counts(numbered: DataFrame, scores: DataFrame, rows: DataFrame, b
         for batch in batches:
             for keys, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.frombuffer(keys, np.int64)), pa.array(np.frombuffer(counts, np.int64))], ["key", "c"]
+                    [pa.array(unpacked(keys, np.uint64, True).view(np.int64)), pa.array(unpacked(counts, np.int64))], ["key", "c"]
                 )
 
     own = numbered.dropDuplicates(["row"]).select("row", "text").mapInArrow(words, "row long, key long, n long")

@@ -7,10 +7,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from countermill.llm import bloom_lm, html_crf, toxicity, weak_quality
+from countermill.llm.common import all_unpacked, packed, unpacked
 from countermill.llm.dom_blocks import blocks
 from countermill.llm.page_maker import Maker, labelled_pages
 
@@ -250,3 +252,16 @@ def test_odd_pages(spark):
     assert len(got) == 7 and {r.text for r in got if r.page_id in (1, 2)} == {""}
     assert texts[-1] in next(r.text for r in got if r.page_id is None)
     assert html_crf.extracted(pages.limit(0)).count() == 0
+
+
+def test_packed_arrays_take_less_room_and_come_back():
+    rng = np.random.default_rng(7)
+    for n in (0, 1, 2000, 60_000):
+        keys = np.unique(rng.integers(0, 1 << 55, n, dtype=np.uint64))
+        levels = rng.geometric(0.5, n).astype(np.uint16)
+        assert (unpacked(packed(keys, True), np.uint64, True) == keys).all()
+        assert (unpacked(packed(levels), np.uint16) == levels).all()
+    assert len(packed(keys, True)) < 0.7 * keys.nbytes and len(packed(levels)) < 0.3 * levels.nbytes
+    assert len(zlib.compress(packed(keys[:2000], True))) < 0.8 * keys[:2000].nbytes
+    column = pa.chunked_array([[packed(keys[:10], True), b""], [packed(keys[10:], True)]], pa.binary())
+    assert (all_unpacked(column, np.uint64, True) == keys).all()
