@@ -108,3 +108,22 @@ def test_equal_windows_share_a_side():
         runs = S.Runs(np.frombuffer(text, np.uint8))
         keys.append(set(np.concatenate([k for k, _ in runs.sides()]).tolist()))
     assert len(keys[0] & keys[1]) > 3
+
+
+def test_whole_texts_go_to_python_in_bounded_batches(spark):
+    """No stage takes more than 2,000 texts at a time from the session's 10,000."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    docs = spark.range(5000).selectExpr("id AS doc_id", "concat('text ', id) AS text").coalesce(1)
+    try:
+        spark.conf.set(name, "10000")
+        S.removed_repeats(docs)
+
+        def counted(batches):
+            for batch in batches:
+                yield S.pa.RecordBatch.from_arrays([S.pa.array([batch.num_rows], S.pa.int32())], ["rows"])
+
+        sizes = docs.mapInArrow(counted, "rows int")
+        assert max(r.rows for r in sizes.collect()) <= 2000
+    finally:
+        spark.conf.set(name, before)
