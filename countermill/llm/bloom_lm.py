@@ -46,7 +46,8 @@ SEGMENTS = (
 TOGETHER = 16
 #: The level of an n-gram that is to be looked up among those left out.
 OPEN = np.uint16(0xFFFF)
-STRETCH = "stretch long, part int, texts binary, levels1 binary, levels2 binary, keys1 binary, keys2 binary"
+STRETCH = "place long, stretch long, part int, texts binary, levels1 binary, levels2 binary, keys1 binary, keys2 binary"
+ANSWERED = "stretch long, part int, texts binary, levels1 binary, levels2 binary"
 SCORES = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
@@ -336,10 +337,11 @@ def by_task(keys: np.ndarray, wanted: np.ndarray, segments: int) -> tuple[np.nda
 
 
 def looked_up(numbered: DataFrame, rows: DataFrame, shared, judged: Callable, most: int) -> DataFrame:
-    """Scores where segments have left n-grams out. A stretch of texts is stored with the levels that the filter
-    settles; its open n-grams go to the tasks of their segments, and the levels come back to it."""
-    names = [f.split()[0] for f in STRETCH.split(", ")]
-    kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 5]
+    """Scores where segments have left n-grams out. The open n-grams of a stretch of texts go to the tasks of their
+    segments, and the levels come back to it. The texts, with the levels that the filter settles, cross the same
+    shuffle to places of their own, below 0, so open n-grams are on disk once; it goes when the answers are stored."""
+    names, answered = ([f.split()[0] for f in schema.split(", ")] for schema in (STRETCH, ANSWERED))
+    kinds = [pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 5]
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, model = WordHashes(), shared.value
@@ -355,12 +357,14 @@ def looked_up(numbered: DataFrame, rows: DataFrame, shared, judged: Callable, mo
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
                 writer.write_batch(part)
-            out = [(stretch, -1, sink.getvalue().to_pybytes(), *map(packed, levels), None, None)]
-            out += [(stretch, task, None, None, None, *keys) for task, keys in asked.items()]
+            out = [(-1 - stretch, stretch, -1, sink.getvalue().to_pybytes(), *map(packed, levels), None, None)]
+            out += [(task, stretch, task, None, None, None, *keys) for task, keys in asked.items()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
     def answer(asked: pa.Table, left: pa.Table) -> pa.Table:
-        columns = [asked["stretch"], asked["part"]]
+        if asked.num_rows and asked["place"][0].as_py() < 0:
+            return asked.select(answered)
+        columns = [asked["stretch"], asked["part"], asked["texts"]]
         for order in ("1", "2"):
             keys, level = all_unpacked(left[f"left{order}"], np.uint64, True), all_unpacked(left[f"levels{order}"], np.uint16)
             by_key = np.argsort(keys)
@@ -371,9 +375,11 @@ def looked_up(numbered: DataFrame, rows: DataFrame, shared, judged: Callable, mo
                 place = np.searchsorted(keys[:-1], wanted)
                 answers.append(packed(np.where(keys[place] == wanted, level[place], np.uint16(0))))
             columns.append(pa.array(answers, pa.binary()))
-        return pa.table(columns, names=["stretch", "part", "levels1", "levels2"])
+        return pa.table(columns, names=answered)
 
-    def finish(stretch: pa.Table, answers: pa.Table) -> pa.Table:
+    def finish(rows: pa.Table) -> pa.Table:
+        own = pa.compute.less(rows["part"], 0)
+        stretch, answers = rows.filter(own), rows.filter(pa.compute.invert(own))
         with pa.ipc.open_stream(stretch["texts"][0].as_buffer()) as reader:
             part = reader.read_next_batch()
         segments = shared.value.segments
@@ -388,14 +394,11 @@ def looked_up(numbered: DataFrame, rows: DataFrame, shared, judged: Callable, mo
 
         return pa.Table.from_batches([judged(part, *token_codes(part.column(3).to_pylist(), WordHashes()), known)])
 
-    parts = stored(numbered.mapInArrow(ask, STRETCH))
-    left = rows.select(F.floor(F.col("segment") / TOGETHER).cast("int").alias("part"), "left1", "levels1", "left2", "levels2")
-    answers = (
-        parts.where("part >= 0").select("stretch", "part", "keys1", "keys2").groupBy("part").cogroup(left.groupBy("part"))
-        .applyInArrow(answer, "stretch long, part int, levels1 binary, levels2 binary")
-    )
-    texts = parts.where("part < 0").select("stretch", "texts", "levels1", "levels2")
-    return texts.groupBy("stretch").cogroup(answers.groupBy("stretch")).applyInArrow(finish, SCORES)
+    part = F.floor(F.col("segment") / TOGETHER).cast("long")
+    left = rows.select(part.alias("place"), "left1", "levels1", "left2", "levels2")
+    asked = numbered.mapInArrow(ask, STRETCH).groupBy("place")
+    back = stored(asked.cogroup(left.groupBy("place")).applyInArrow(answer, ANSWERED), drop_shuffles=True)
+    return back.groupBy("stretch").applyInArrow(finish, SCORES)
 
 
 def with_exact_counts(numbered: DataFrame, scores: DataFrame, rows: DataFrame, bottom: float) -> DataFrame:

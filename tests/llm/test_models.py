@@ -139,6 +139,20 @@ def test_a_small_filter_leaves_out_rare_ngrams_only(docs):
     assert len(model.bits) * 8 <= 1 << 16 and (model.count(unseen, 0) > 0).mean() < 0.12
 
 
+def test_open_ngrams_cross_one_shuffle_and_are_not_stored(docs, monkeypatch):
+    """They were stored with the texts and then shuffled, which put them on disk twice."""
+    tables, stored = [], bloom_lm.stored
+
+    def kept(df, **options):
+        tables.append(df)
+        return stored(df, **options)
+
+    monkeypatch.setattr(bloom_lm, "stored", kept)
+    result = bloom_lm.scored(docs, most_bits=1 << 16, flush=20_000)
+    assert len(tables) == 2 and not any({"keys1", "keys2"} & set(table.columns) for table in tables)
+    assert result.count() == docs.count()
+
+
 @pytest.mark.parametrize("most_words", [16_000_000, 0])
 def test_ngrams_left_out_of_a_small_filter_keep_their_counts(docs, most_words):
     """Scores are those of a filter with room for all, but for false positives, which are never rarer than an n-gram left out."""
