@@ -3,20 +3,22 @@
 Counts of words and of pairs of neighbouring words, over all training texts, are quantised to levels
 and held in a Bloom filter: an n-gram of level q is inserted q times, as (n-gram, 1) to (n-gram, q), and
 its level is found again by probing 1, 2, ... until a probe misses. The filter is cut into segments by
-hash. A segment is filled in one task from the partial counts of all tasks and is a fixed number of
-bits. Bits in all: 8 per training byte of text, up to `most_bits` (32 MB by default), which bounds what is
-broadcast. Where a segment has no room for all its n-grams, those of the lowest counts stay out of the
-filter and go to a table with their levels. An n-gram whose level in the filter is below all that the
-segment took in is looked up in that table: a stretch of texts sends its open n-grams to the tasks that
-hold their segments and gets levels back. So every n-gram has its level at every size. Keys travel and lie
-on disk in order, as the byte planes of their differences, compressed.
+hash, each of a fixed number of bits. Bits in all: 8 per training byte of text, up to `most_bits` (32 MB by
+default). Where a segment has no room for all its n-grams, those of the lowest counts stay out of the
+filter and keep their levels in a table beside it. An n-gram whose level in the filter is below all that the
+segment took in is looked up in that table, so every n-gram has its level at every size.
+
+Scoring sends n-grams to segments, at every size of the input alike: a stretch of texts sends its distinct
+n-grams, with their counts in its training texts, to the tasks of their segments. Such a task adds up the
+counts, fills its segments, probes them for every n-gram it was sent and sends levels, and the exact counts
+of words, back to the stretches. No filter or table of words is gathered or broadcast. Keys travel in order,
+as the byte planes of their differences, compressed. `train` fills the same segments and gives the filter whole.
 
 Score: log10 of p(word | word before), where p(w | v) = (c(v, w) + m p(w)) / (c(v) + m) with Dirichlet
 weight m and p(w) = (c(w) + 1) / (sum of c + distinct words + 1), all c from the filter. A text starts
 after an end and ends with one.
 
-base_score uses exact counts. They are broadcast as sorted arrays while there are at most
-`most_words` distinct words (12 bytes each); beyond that they are joined to the words of documents.
+base_score uses exact counts.
 
 Defined results: null and empty texts have one token, the end. Null ids count as the empty text in the
 crc32. Repeated rows count and are scored each. Without training texts N and V are 0 and every token is
@@ -25,7 +27,7 @@ unknown. No rows: no rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from countermill.llm.common import MIX, WordHashes, all_unpacked, crc_of_id, joined, mixed, packed, stored, text_bytes, unpacked
+from countermill.llm.common import (
+    MIX,
+    WordHashes,
+    all_unpacked,
+    bounded_batches,
+    crc_of_id,
+    in_stretches,
+    joined,
+    mixed,
+    packed,
+    stored,
+    text_bytes,
+    unmixed,
+    unpacked,
+)
 
 PROBES = 4
 END = np.uint64(0xE0D)
@@ -42,13 +58,23 @@ SEGMENTS = (
     "segment int, bits binary, low1 long, low2 long, n long, v long, mass double, keys binary, counts binary, "
     "left1 binary, levels1 binary, left2 binary, levels2 binary"
 )
-#: Segments whose left-out n-grams one task looks up.
-TOGETHER = 16
+#: Segments that one task fills and probes at most.
+TOGETHER = 8
 #: The level of an n-gram that is to be looked up among those left out.
 OPEN = np.uint16(0xFFFF)
-STRETCH = "place long, stretch long, part int, texts binary, levels1 binary, levels2 binary, keys1 binary, keys2 binary"
-ANSWERED = "stretch long, part int, texts binary, levels1 binary, levels2 binary"
-SCORES = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+ASKED = (
+    "place long, stretch long, texts binary, words binary, tokens binary, "
+    "keys1 binary, counts1 binary, keys2 binary, counts2 binary"
+)
+ANSWERED = (
+    "stretch long, part int, texts binary, words binary, tokens binary, "
+    "levels1 binary, known1 binary, levels2 binary, n long, v long, mass double"
+)
+SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+
+
+def names_of(schema: str) -> list[str]:
+    return [field.split()[0] for field in schema.split(", ")]
 
 
 def levels(base: float, top: float = 1e15) -> np.ndarray:
@@ -77,6 +103,11 @@ def key_of(codes: np.ndarray, before: np.ndarray | None = None) -> np.ndarray:
     return mixed(codes + MIX[1]) if before is None else joined(before, codes)
 
 
+def code_of(keys: np.ndarray) -> np.ndarray:
+    """The codes of words from their keys."""
+    return unmixed(keys) - MIX[1]
+
+
 def segment_of(keys: np.ndarray, segments: int) -> np.ndarray:
     return (keys >> np.uint64(64 - (segments.bit_length() - 1))).astype(np.int64) if segments > 1 else np.zeros(len(keys), np.int64)
 
@@ -128,7 +159,7 @@ def partial_counts(documents: DataFrame, segments: int, flush: int = 1_500_000)
             for values in (keys, counts):
                 parts = [packed(values[a:b], values is keys) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
                 columns.append(pa.array(parts, pa.binary()))
-        yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in COUNTS.split(", ")])
+        yield pa.RecordBatch.from_arrays(columns, names_of(COUNTS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, held, size = WordHashes(), [], 0
@@ -145,46 +176,58 @@ def partial_counts(documents: DataFrame, segments: int, flush: int = 1_500_000)
     return documents.select(text_bytes().alias("text")).mapInArrow(run, COUNTS)
 
 
+def lowest(counts: np.ndarray, order: int, room: int) -> tuple[int, int]:
+    """The lowest count whose n-grams and all commoner ones fit, and the insertions they need."""
+    kinds, n = np.unique(counts, return_counts=True)
+    need = np.cumsum((n * level_of(kinds, order))[::-1])[::-1]
+    fits = np.flatnonzero(need <= room)
+    return (int(kinds[fits[0]]), int(need[fits[0]])) if len(fits) else (1 << 62, 0)
+
+
+def filled(counted: list[tuple[np.ndarray, np.ndarray]], segment_bits: int) -> tuple[np.ndarray, list[int]]:
+    """The bits of a segment from keys and counts of its words and of its pairs, and per order the lowest count
+    that it took in. N-grams of lower counts are left out."""
+    room = int(segment_bits * np.log(2) / PROBES)
+    bits = np.zeros(segment_bits, bool)
+    low1, used = lowest(counted[0][1], 0, room // 2)
+    low2, _ = lowest(counted[1][1], 1, room - used)
+    for order, (keys, n), low in ((0, counted[0], low1), (1, counted[1], low2)):
+        keys, level = keys[n >= low], level_of(n[n >= low], order)
+        j = 0
+        while len(keys):
+            j += 1
+            hashes = hashed(keys, j)
+            for probe in range(PROBES):
+                bits[place(*hashes, probe, segment_bits)] = True
+            keys, level = keys[level > j], level[level > j]
+    return np.packbits(bits, bitorder="little"), [low1, low2]
+
+
+def mass_of(counts: np.ndarray) -> float:
+    """The sum of the counts of words as their levels give them."""
+    return float(value_of(level_of(counts, 0), 0).sum())
+
+
 def filled_segments(counts: DataFrame, segment_bits: int) -> DataFrame:
     """One row per segment: its bits, the lowest counts in it where some n-grams are left out (else 0), the
     exact counts of its words, and the n-grams left out with their levels."""
-    room = int(segment_bits * np.log(2) / PROBES)
-
-    def lowest(counts: np.ndarray, order: int, room: int) -> tuple[int, int]:
-        """The lowest count whose n-grams and all commoner ones fit, and the insertions they need."""
-        kinds, n = np.unique(counts, return_counts=True)
-        need = np.cumsum((n * level_of(kinds, order))[::-1])[::-1]
-        fits = np.flatnonzero(need <= room)
-        return (int(kinds[fits[0]]), int(need[fits[0]])) if len(fits) else (1 << 62, 0)
 
     def fill(table: pa.Table) -> pa.Table:
         joined_up = []
         for order in ("1", "2"):
             keys = all_unpacked(table[f"keys{order}"], np.uint64, True)
             joined_up.append(summed(keys, all_unpacked(table[f"counts{order}"], np.uint32).astype(np.int64)))
-        (words, n1), (pairs, n2) = joined_up
-        bits = np.zeros(segment_bits, bool)
-        low1, used = lowest(n1, 0, room // 2)
-        low2, _ = lowest(n2, 1, room - used)
+        bits, lows = filled(joined_up, segment_bits)
         left = []
-        for order, keys, n, low in ((0, words, n1, low1), (1, pairs, n2, low2)):
+        for order, ((keys, n), low) in enumerate(zip(joined_up, lows, strict=True)):
             left += [packed(keys[n < low], True), packed(level_of(n[n < low], order).astype(np.uint16))]
-            keys, level = keys[n >= low], level_of(n[n >= low], order)
-            j = 0
-            while len(keys):
-                j += 1
-                hashes = hashed(keys, j)
-                for probe in range(PROBES):
-                    bits[place(*hashes, probe, segment_bits)] = True
-                keys, level = keys[level > j], level[level > j]
-        mass = float(value_of(level_of(n1, 0), 0).sum())
+        words, n1 = joined_up[0]
         row = [
-            table["segment"][0].as_py(), np.packbits(bits, bitorder="little").tobytes(),
-            low1 if left[0] else 0, low2 if left[2] else 0, int(n1.sum()), len(words), mass, packed(words, True), packed(n1), *left,
+            table["segment"][0].as_py(), bits.tobytes(),
+            lows[0] if left[0] else 0, lows[1] if left[2] else 0, int(n1.sum()), len(words), mass_of(n1), packed(words, True), packed(n1), *left,
         ]
-        names = [f.split()[0] for f in SEGMENTS.split(", ")]
         kinds = [pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), *[pa.binary()] * 6]
-        return pa.table([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=names)
+        return pa.table([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=names_of(SEGMENTS))
 
     return counts.groupBy("segment").applyInArrow(fill, SEGMENTS)
 
@@ -202,7 +245,6 @@ class Model:
     def __init__(self, bits: np.ndarray, segment_bits: int, n: int, v: int, mass: float, weight: float, lows: np.ndarray):
         self.bits, self.segment_bits, self.n, self.v, self.mass, self.weight = bits, segment_bits, n, v, mass, weight
         self.segments = len(bits) * 8 // segment_bits
-        self.partial = bool(lows.any())
         self.floors = [level_of(lows[order], order) for order in (0, 1)]
 
     def levels(self, keys: np.ndarray, order: int) -> np.ndarray:
@@ -230,25 +272,33 @@ class Model:
         """Counts as far as the filter has them."""
         return value_of(self.levels(keys, order), order)
 
-    def log10(self, codes: np.ndarray, before: np.ndarray, known: Callable | None = None) -> np.ndarray:
-        """log10 p(code | code before) of each token, with levels of (keys, order) from `known` or the filter."""
+    def log10(self, codes: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """log10 p(code | code before) of each token, with counts as far as the filter has them."""
         (words, at_word), (pairs, at_pair) = ngrams(codes, before)
-        known = known or self.levels
-        single = value_of(known(words, 0), 0)
+        single = self.count(words, 0)
         own, context = single[at_word[: len(codes)]], single[at_word[len(codes) :]]
-        both = np.minimum(value_of(known(pairs, 1), 1)[at_pair], np.minimum(own, context))
-        p = (own + 1) / (self.mass + self.v + 1)
-        return np.log10((both + self.weight * p) / (context + self.weight))
+        return log10_of(own, context, self.count(pairs, 1)[at_pair], self.v, self.mass, self.weight)
+
+
+def log10_of(own: np.ndarray, context: np.ndarray, both: np.ndarray, v: int, mass: float, weight: float) -> np.ndarray:
+    """log10 p(word | word before) from the counts of the word, of the one before and of both."""
+    p = (own + 1) / (mass + v + 1)
+    return np.log10((np.minimum(both, np.minimum(own, context)) + weight * p) / (context + weight))
+
+
+def layout(documents: DataFrame, most_bits: int) -> tuple[int, int]:
+    """Segments of the filter for these training texts, and bits of each."""
+    size = documents.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    segments = 1 << min(20, max(4, (int(size) // (1 << 21)).bit_length()))
+    bits = max(segments << 10, min(most_bits, 1 << (8 * int(size)).bit_length()))
+    return segments, bits // segments
 
 
 def train(
     documents: DataFrame, most_bits: int = 1 << 28, weight: float = 100.0
 ) -> tuple[DataFrame, Model]:
     """The stored segments with exact word counts, and the model."""
-    size = documents.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    segments = 1 << min(20, max(4, (int(size) // (1 << 21)).bit_length()))
-    bits = max(segments << 10, min(most_bits, 1 << (8 * int(size)).bit_length()))
-    segment_bits = bits // segments
+    segments, segment_bits = layout(documents, most_bits)
     rows = stored(filled_segments(partial_counts(documents, segments), segment_bits), drop_shuffles=True)
     found = np.zeros(segments * segment_bits // 8, np.uint8)
     for segment, part in rows.select("segment", "bits").toPandas().itertuples(index=False):
@@ -260,171 +310,147 @@ def train(
     return rows, Model(found, segment_bits, int(n), int(v), float(mass), weight, lows)
 
 
-def word_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Exact counts of all words, sorted by key: segments are ranges of keys."""
-    parts = rows.select("segment", "keys", "counts").toPandas().sort_values("segment")
-    keys = np.concatenate([np.empty(0, np.uint64), *(unpacked(data, np.uint64, True) for data in parts["keys"])])
-    return keys, np.concatenate([np.empty(0, np.uint32), *(unpacked(data, np.int64).astype(np.uint32) for data in parts["counts"])])
-
-
 def scored(
-    documents: DataFrame, most_words: int = 16_000_000, most_bits: int = 1 << 28, weight: float = 100.0, flush: int = 300_000
+    documents: DataFrame, most_words: int | None = None, most_bits: int = 1 << 28, weight: float = 100.0, flush: int = 1_500_000
 ) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. `flush`: tokens of a stretch.
+    `most_words`, the words that were broadcast at most, has no effect any more: none are."""
+    bounded_batches(documents.sparkSession)
     held_out = crc_of_id() % 7 == 2
-    rows, model = train(documents.where(~held_out), most_bits, weight)
-    spark = documents.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    exact = spark.sparkContext.broadcast(word_counts(rows)) if model.v <= most_words else None
-    bottom = float(np.log10(model.n + model.v + 1))
-
-    def judged(part: pa.RecordBatch, codes: np.ndarray, before: np.ndarray, sizes: np.ndarray, known: Callable | None = None) -> pa.RecordBatch:
-        starts = np.cumsum(sizes) - sizes
-        score = np.add.reduceat(shared.value.log10(codes, before, known), starts)
-        seen, base = np.zeros(len(sizes), np.int64), np.zeros(len(sizes))
-        if exact:
-            keys, counts = exact.value
-            words, back = np.unique(codes, return_inverse=True)
-            wanted = key_of(words)
-            place = np.searchsorted(keys, wanted)
-            c = np.zeros(len(words), np.int64)
-            inside = place < len(keys)
-            hit = np.flatnonzero(inside)[keys[place[inside]] == wanted[inside]]
-            c[hit] = counts[place[hit]]
-            seen = np.add.reduceat((c > 0)[back].astype(np.int64), starts)
-            base = np.add.reduceat(np.log10(c + 1.0)[back], starts) - sizes * bottom
-        columns = [part.column(0), part.column(1), part.column(2), pa.array(sizes), pa.array(seen), pa.array(base), pa.array(score)]
-        return pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in SCORES.split(", ")])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for part in stretches(batches, 6 * flush):
-            yield judged(part, *token_codes(part.column(3).to_pylist(), hashes))
-
-    def every_level(numbered: DataFrame) -> DataFrame:
-        return looked_up(numbered, rows, shared, judged, 6 * flush) if model.partial else numbered.mapInArrow(run, SCORES)
-
-    if exact:
-        numbered = documents.select(F.lit(0).cast("long").alias("row"), "doc_id", held_out.alias("held_out"), text_bytes().alias("text"))
-        result = every_level(numbered)
-    else:
-        row = F.xxhash64("doc_id", "text")
-        numbered = documents.select(row.alias("row"), "doc_id", held_out.alias("held_out"), text_bytes().alias("text"))
-        result = with_exact_counts(numbered, every_level(numbered), rows, bottom)
-    return result.select(
-        "doc_id", "held_out", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score"
+    segments, segment_bits = layout(documents.where(~held_out), most_bits)
+    rows = documents.select("doc_id", held_out.alias("held_out"), text_bytes().alias("text"))
+    asked = asked_ngrams(rows, segments, flush)
+    back = stored(answered_ngrams(asked, segments, segment_bits, weight), drop_shuffles=True)
+    n, v, mass = back.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "v", "mass"))).first()
+    scores = stored(finished(back.where("stretch >= 0"), int(n), int(v), float(mass), weight), drop_shuffles=True)
+    return scores.select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), "base_score", "score"
     )
 
 
-def stretches(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """Rows whose texts, the fourth column, reach so many bytes together."""
-    for batch in batches:
-        ends = np.cumsum(pa.compute.binary_length(batch.column(3)).to_numpy(zero_copy_only=False))
-        at = 0
-        while at < len(ends):
-            end = min(len(ends), int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most)) + 1)
-            yield batch.slice(at, end - at)
-            at = end
-
-
-def by_task(keys: np.ndarray, wanted: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of the wanted keys in order of the tasks that look them up, these tasks, and where each starts."""
-    places = np.flatnonzero(wanted)
-    task = segment_of(keys[places], segments) // TOGETHER
-    order = np.argsort(task, kind="stable")
-    tasks, starts = np.unique(task[order], return_index=True)
-    return places[order], tasks, np.append(starts, len(places))
-
-
-def looked_up(numbered: DataFrame, rows: DataFrame, shared, judged: Callable, most: int) -> DataFrame:
-    """Scores where segments have left n-grams out. The open n-grams of a stretch of texts go to the tasks of their
-    segments, and the levels come back to it. The texts, with the levels that the filter settles, cross the same
-    shuffle to places of their own, below 0, so open n-grams are on disk once; it goes when the answers are stored."""
-    names, answered = ([f.split()[0] for f in schema.split(", ")] for schema in (STRETCH, ANSWERED))
-    kinds = [pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 5]
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, model = WordHashes(), shared.value
-        for n, part in enumerate(stretches(batches, most)):
-            stretch = (TaskContext.get().partitionId() << 32) + n
-            codes, before, _ = token_codes(part.column(3).to_pylist(), hashes)
-            levels, asked = [], {}
-            for order, (keys, _) in enumerate(ngrams(codes, before)):
-                levels.append(model.settled(keys, order))
-                places, tasks, cuts = by_task(keys, levels[order] == OPEN, model.segments)
-                for task, begin, end in zip(tasks.tolist(), cuts[:-1], cuts[1:], strict=True):
-                    asked.setdefault(task, [b"", b""])[order] = packed(keys[places[begin:end]], True)
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-                writer.write_batch(part)
-            out = [(-1 - stretch, stretch, -1, sink.getvalue().to_pybytes(), *map(packed, levels), None, None)]
-            out += [(task, stretch, task, None, None, None, *keys) for task, keys in asked.items()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
-
-    def answer(asked: pa.Table, left: pa.Table) -> pa.Table:
-        if asked.num_rows and asked["place"][0].as_py() < 0:
-            return asked.select(answered)
-        columns = [asked["stretch"], asked["part"], asked["texts"]]
-        for order in ("1", "2"):
-            keys, level = all_unpacked(left[f"left{order}"], np.uint64, True), all_unpacked(left[f"levels{order}"], np.uint16)
-            by_key = np.argsort(keys)
-            keys, level = np.append(keys[by_key], np.uint64(0)), np.append(level[by_key], np.uint16(0))
-            answers = []
-            for wanted in asked[f"keys{order}"].to_pylist():
-                wanted = unpacked(wanted, np.uint64, True)
-                place = np.searchsorted(keys[:-1], wanted)
-                answers.append(packed(np.where(keys[place] == wanted, level[place], np.uint16(0))))
-            columns.append(pa.array(answers, pa.binary()))
-        return pa.table(columns, names=answered)
+def together_of(segments: int) -> int:
+    """Segments to a task: fewer of a small filter, so that it is dealt out widely too."""
+    return min(TOGETHER, max(1, segments // 64))
+
+
+def asked_ngrams(rows: DataFrame, segments: int, flush: int) -> DataFrame:
+    """Per stretch of texts its tokens, as places among its words, under a place of their own below 0, and for each
+    task that holds segments its distinct n-grams there, with their counts in training texts."""
+    together = together_of(segments)
+    places = segments // together
+    kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 7]
+
+    def emit(held: list, n: int) -> pa.RecordBatch:
+        stretch = (TaskContext.get().partitionId() << 32) + n
+        codes, before, sizes = (np.concatenate([h[i] for h in held]) for i in (1, 2, 3))
+        texts = pa.Table.from_batches([h[0] for h in held]).append_column("n_tokens", pa.array(sizes)).combine_chunks()
+        learnt = np.repeat(~texts["held_out"].to_numpy(), sizes)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, texts.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+            writer.write_table(texts)
+        words, at_word = np.unique(key_of(codes), return_inverse=True)
+        pairs, at_pair = np.unique(key_of(codes, before), return_inverse=True)
+        counted = []
+        for keys, at in ((words, at_word), (pairs, at_pair)):
+            counts = np.bincount(at[learnt], minlength=len(keys)).astype(np.uint32)
+            counted.append((keys, counts, np.searchsorted(segment_of(keys, segments) // together, np.arange(places + 1))))
+        out = [(-1 - stretch, stretch, sink.getvalue().to_pybytes(), packed(words, True), packed(at_word.astype(np.uint32)), *[None] * 4)]
+        for task in range(places):
+            sent = []
+            for keys, counts, cuts in counted:
+                own = slice(cuts[task], cuts[task + 1])
+                sent += [packed(keys[own], True), packed(counts[own])]
+            if sent[0] or sent[2]:
+                out.append((task, stretch, None, None, None, *sent))
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names_of(ASKED))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, held, size, n = WordHashes(), [], 0, 0
+        for part in in_stretches(batches, 2, 1 << 20):
+            held.append((part.select([0, 1]), *token_codes(part.column(2).to_pylist(), hashes)))
+            size += len(held[-1][1])
+            if size >= flush:
+                yield emit(held, n)
+                held, size, n = [], 0, n + 1
+        if held:
+            yield emit(held, n)
+
+    return rows.mapInArrow(run, ASKED)
+
+
+def answered_ngrams(asked: DataFrame, segments: int, segment_bits: int, weight: float) -> DataFrame:
+    """Per stretch and task the levels of the n-grams sent and the exact counts of the words among them, per task
+    the sums over its words, and the tokens as they came."""
+    names, together = names_of(ANSWERED), together_of(segments)
+    kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 6, pa.int64(), pa.int64(), pa.float64()]
+
+    def judged(keys: list[np.ndarray], counts: list[np.ndarray]) -> list[np.ndarray]:
+        """Levels of all words and pairs of one segment, of those in no training text too."""
+        bits, lows = filled([(k[n > 0], n[n > 0]) for k, n in zip(keys, counts, strict=True)], segment_bits)
+        model = Model(bits, segment_bits, 0, 0, 0.0, weight, np.array([[low if (n[n > 0] < low).any() else 0] for low, n in zip(lows, counts, strict=True)]))
+        levels = []
+        for order in (0, 1):
+            level, n = model.settled(keys[order], order), counts[order]
+            left = level == OPEN
+            level[left] = np.where(n[left] < lows[order], level_of(n[left], order), 0)
+            levels.append(level)
+        return levels
+
+    def answer(asked: pa.Table) -> pa.Table:
+        first = asked["place"][0].as_py()
+        if first < 0:
+            rows = asked.num_rows
+            own = [asked["stretch"], pa.array([-1] * rows, pa.int32()), asked["texts"], asked["words"], asked["tokens"]]
+            return pa.table([*own, *(pa.nulls(rows, k) for k in kinds[5:])], names=names)
+        keys, counts, backs, cuts = [], [], [], []
+        for order in "12":
+            sent = [unpacked(data, np.uint64, True) for data in asked[f"keys{order}"].to_pylist()]
+            distinct, back = np.unique(np.concatenate(sent), return_inverse=True)
+            n = np.bincount(back, all_unpacked(asked[f"counts{order}"], np.uint32), len(distinct)).astype(np.int64)
+            keys.append(distinct)
+            counts.append(n)
+            backs.append(np.split(back, np.cumsum([len(x) for x in sent])[:-1]))
+            cuts.append(np.searchsorted(segment_of(distinct, segments) - first * together, np.arange(together + 1)))
+        levels = [np.zeros(len(k), np.uint16) for k in keys]
+        n = v = mass = 0
+        for segment in range(together):
+            own = [slice(c[segment], c[segment + 1]) for c in cuts]
+            for order, level in enumerate(judged([k[o] for k, o in zip(keys, own, strict=True)], [c[o] for c, o in zip(counts, own, strict=True)])):
+                levels[order][own[order]] = level
+            learnt = counts[0][own[0]][counts[0][own[0]] > 0]
+            n, v, mass = n + int(learnt.sum()), v + len(learnt), mass + mass_of(learnt)
+        out = [(-1, first, *[None] * 6, n, v, mass)]
+        for stretch, words, pairs in zip(asked["stretch"].to_pylist(), *backs, strict=True):
+            answers = (packed(levels[0][words]), packed(counts[0][words]), packed(levels[1][pairs]))
+            out.append((stretch, first, None, None, None, *answers, None, None, None))
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+
+    return asked.groupBy("place").applyInArrow(answer, ANSWERED)
+
+
+def finished(back: DataFrame, n: int, v: int, mass: float, weight: float) -> DataFrame:
+    """Scores of the texts of every stretch. Tasks hold ranges of keys, so answers by task are in order of the keys."""
+    bottom = float(np.log10(n + v + 1))
 
     def finish(rows: pa.Table) -> pa.Table:
         own = pa.compute.less(rows["part"], 0)
-        stretch, answers = rows.filter(own), rows.filter(pa.compute.invert(own))
+        stretch, answers = rows.filter(own), rows.filter(pa.compute.invert(own)).sort_by("part")
         with pa.ipc.open_stream(stretch["texts"][0].as_buffer()) as reader:
-            part = reader.read_next_batch()
-        segments = shared.value.segments
-        found = [dict(zip(answers["part"].to_pylist(), answers[f"levels{o}"].to_pylist(), strict=True)) for o in "12"]
-
-        def known(keys: np.ndarray, order: int) -> np.ndarray:
-            level = unpacked(stretch[f"levels{order + 1}"][0].as_py(), np.uint16)
-            places, tasks, cuts = by_task(keys, level == OPEN, segments)
-            for task, begin, end in zip(tasks.tolist(), cuts[:-1], cuts[1:], strict=True):
-                level[places[begin:end]] = unpacked(found[order][task], np.uint16)
-            return level.astype(np.int64)
-
-        return pa.Table.from_batches([judged(part, *token_codes(part.column(3).to_pylist(), WordHashes()), known)])
-
-    part = F.floor(F.col("segment") / TOGETHER).cast("long")
-    left = rows.select(part.alias("place"), "left1", "levels1", "left2", "levels2")
-    asked = numbered.mapInArrow(ask, STRETCH).groupBy("place")
-    back = stored(asked.cogroup(left.groupBy("place")).applyInArrow(answer, ANSWERED), drop_shuffles=True)
-    return back.groupBy("stretch").applyInArrow(finish, SCORES)
-
-
-def with_exact_counts(numbered: DataFrame, scores: DataFrame, rows: DataFrame, bottom: float) -> DataFrame:
-    """n_known and base_score by a join of documents' words with the counts, where these are too many to
-    broadcast. Rows of equal id and text are one here and get the same sums."""
-
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in batches:
-            for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                keys, n = np.unique(key_of(token_codes([text], hashes)[0]), return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(keys), row)), pa.array(keys.view(np.int64)), pa.array(n)], ["row", "key", "n"]
-                )
+            texts = reader.read_all()
+        sizes = texts["n_tokens"].to_numpy()
+        starts = np.cumsum(sizes) - sizes
+        at_word = unpacked(stretch["tokens"][0].as_py(), np.uint32)
+        # The last token is an end, and so is what comes before the first.
+        at_before = np.append(at_word[-1], at_word[:-1])
+        word = code_of(unpacked(stretch["words"][0].as_py(), np.uint64, True))
+        at_pair = np.unique(key_of(word[at_word], word[at_before]), return_inverse=True)[1]
+        single = value_of(all_unpacked(answers["levels1"], np.uint16).astype(np.int64), 0)
+        both = value_of(all_unpacked(answers["levels2"], np.uint16).astype(np.int64), 1)
+        exact = all_unpacked(answers["known1"], np.int64)
+        score = np.add.reduceat(log10_of(single[at_word], single[at_before], both[at_pair], v, mass, weight), starts)
+        known = np.add.reduceat((exact > 0).astype(np.int64)[at_word], starts)
+        base = np.add.reduceat(np.log10(exact + 1.0)[at_word], starts) - sizes * bottom
+        columns = [texts["doc_id"], texts["held_out"], pa.array(sizes), pa.array(known), pa.array(base), pa.array(score)]
+        return pa.table(columns, names=names_of(SCORES))
 
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for keys, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(unpacked(keys, np.uint64, True).view(np.int64)), pa.array(unpacked(counts, np.int64))], ["key", "c"]
-                )
-
-    own = numbered.dropDuplicates(["row"]).select("row", "text").mapInArrow(words, "row long, key long, n long")
-    counts = rows.select("keys", "counts").mapInArrow(unpack, "key long, c long")
-    sums = own.join(counts, "key", "left").groupBy("row").agg(
-        F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("known"),
-        F.sum(F.col("n") * (F.log10(F.coalesce("c", F.lit(0)) + 1) - F.lit(bottom))).alias("base"),
-    )
-    return scores.drop("n_known", "base_score").join(sums, "row").withColumnsRenamed({"known": "n_known", "base": "base_score"})
+    return back.groupBy("stretch").applyInArrow(finish, SCORES)

@@ -153,6 +153,36 @@ def test_open_ngrams_cross_one_shuffle_and_are_not_stored(docs, monkeypatch):
     assert result.count() == docs.count()
 
 
+def test_work_is_alike_with_and_without_room_for_all_ngrams(docs, monkeypatch):
+    """A filter without room asked for a second exchange of n-grams, so disk and time rose in a step with the input."""
+    tables, gathered, stored = [], [], bloom_lm.stored
+
+    def kept(df, **options):
+        tables[-1].append(df.schema)
+        return stored(df, **options)
+
+    monkeypatch.setattr(bloom_lm, "stored", kept)
+    monkeypatch.setattr(type(docs), "toPandas", lambda df: gathered.append(df))
+    for bits in (1 << 16, 1 << 28):
+        tables.append([])
+        bloom_lm.scored(docs, most_bits=bits, flush=20_000)
+    assert tables[0] == tables[1] and not gathered
+
+
+def test_scores_are_those_of_the_whole_filter(docs):
+    """Segments that tasks fill and probe give the levels that the filter in one piece gives."""
+    _, model = bloom_lm.train(docs.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2))
+    texts = {r.doc_id: r.text.encode() for r in docs.collect()}
+    for r in bloom_lm.scored(docs, flush=50_000).collect():
+        codes, before, _ = bloom_lm.token_codes([texts[r.doc_id]], bloom_lm.WordHashes())
+        assert r.score == pytest.approx(model.log10(codes, before).sum(), rel=1e-9)
+
+
+def test_codes_of_words_come_back_from_their_keys():
+    codes = np.random.default_rng(3).integers(0, 1 << 64, 1000, np.uint64)
+    assert (bloom_lm.code_of(bloom_lm.key_of(codes)) == codes).all()
+
+
 @pytest.mark.parametrize("most_words", [16_000_000, 0])
 def test_ngrams_left_out_of_a_small_filter_keep_their_counts(docs, most_words):
     """Scores are those of a filter with room for all, but for false positives, which are never rarer than an n-gram left out."""
