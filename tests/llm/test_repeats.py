@@ -127,3 +127,26 @@ def test_whole_texts_go_to_python_in_bounded_batches(spark):
         assert max(r.rows for r in sizes.collect()) <= 2000
     finally:
         spark.conf.set(name, before)
+
+
+@pytest.mark.parametrize("cases, copies", [(120, 1), (3, 300)])
+def test_a_window_between_two_sides_is_no_repeat_of_itself(spark, cases, copies):
+    """A window on the border of an anchor's sides was compared under both, and met itself where they met in one
+    segment, or, under keys of many runs, in one chunk."""
+    rng = random.Random(11)
+
+    def letters(n):
+        return "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+
+    texts = []
+    for _ in range(cases):
+        text = letters(1000)
+        runs = S.Runs(np.frombuffer(text.encode(), np.uint8))
+        border = runs.anchor - S.SIDE
+        at = int(border[np.argmax(np.minimum(border - runs.first, runs.last - border))])
+        texts.append(text)
+        for _ in range(copies):
+            texts.append(letters(300) + text[max(0, at - 50) : at + 300] + letters(300))
+            texts.append(letters(300) + text[at + 100 : at + 450] + letters(300))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r for r in S.removed_repeats(docs).collect() if r.n_removed] == []
